@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from shotline.llm.encoding import op9_encoding
+from shotline.llm.fingerprints import op3_fingerprints
 from shotline.llm.packing import op6_packing
+from shotline.llm.pii import op10_pii
+from shotline.llm.quality_rules import OP8_SQL, op8_quality_rules
 from shotline.llm.token_counts import op4_token_counts
 from shotline.llm.token_files import op5_token_files
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_token_files, op6_packing, op9_encoding)}
+QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_token_counts, op5_token_files, op6_packing, op8_quality_rules, op9_encoding, op10_pii)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL}
