@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch: bounds a Python worker's memory however long the texts are.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
+#: Bits of a bitmap over hashed keys: 2^26 bits are 8 MB, whatever the number of keys.
+BITMAP_BITS = 26
 ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -93,3 +96,35 @@ def partitions(spark: SparkSession) -> int:
 def cpu_threads_off() -> None:
     """One thread for each task: Spark schedules the cores."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def bitmap(keys: DataFrame, key: Column) -> np.ndarray:
+    """Marks the low BITMAP_BITS bits of each key (a long); at most 2^BITMAP_BITS / 64 rows come to the driver."""
+    at = keys.select(key.bitwiseAND((1 << BITMAP_BITS) - 1).alias("b"))
+    words = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toPandas()
+    out = np.zeros((1 << BITMAP_BITS) // 64, np.uint64)
+    out[words.w.to_numpy(np.int64)] = words.v.to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def is_marked(marks: np.ndarray, key: int) -> bool:
+    b = key & ((1 << BITMAP_BITS) - 1)
+    return bool(int(marks[b >> 6]) >> (b & 63) & 1)
+
+
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents whose id is in `ids` (doc_id), and of few others.
+
+    A narrow pass: only such texts leave the map side. If the bitmap saturates,
+    more texts pass; callers join by doc_id, so the result stays the same.
+    """
+    spark = docs.sparkSession
+    marks = spark.sparkContext.broadcast(bitmap(ids, F.xxhash64("doc_id")))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        b = batch.column("slot").to_numpy() & ((1 << BITMAP_BITS) - 1)
+        on = (marks.value[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return batch.select(["doc_id", "text"]).filter(pa.array(on))
+
+    rows = texts(docs, F.xxhash64(F.col("doc_id").cast("long")).alias("slot")).where("doc_id is not null")
+    return over_batches(rows, run, "doc_id long, text string")

@@ -7,7 +7,7 @@ result's UTF-8. Two fingerprints are alike by 1.0 if equal, else by 0.0.
 Classes: digests that occur once are classes of their own. Documents that share
 a digest are compared byte by byte with the bucket's first document; those that
 differ (a collision) are grouped by their bytes. Only such documents' texts are
-shuffled: a bitmap of fixed size (`BITMAP_BITS`) over digest prefixes, built by
+shuffled: a bitmap of fixed size (`common.BITMAP_BITS`) over digest prefixes, built by
 an aggregation, tells map tasks which texts to send; if it saturates, more texts
 travel and the result stays the same. A bucket's documents are joined to its one
 representative, never collected or paired with each other.
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 
 from shotline.llm import common
 
-#: Bits of the bitmap over digest prefixes: 2^26 bits are 8 MB.
-BITMAP_BITS = 26
 _OWN, _AHEAD, _WRAPPED = 0, 1, 2
 _LEAST = -(1 << 63)
 
@@ -64,20 +62,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.over_batches(common.texts(docs), run, "doc_id long, fingerprint string")
 
 
-def _bits(fingerprint):
-    return F.conv(F.substring(fingerprint, 1, 7), 16, 10).cast("long").bitwiseAND((1 << BITMAP_BITS) - 1)
-
-
-def _bitmap(marked: DataFrame) -> np.ndarray:
-    """Of the fingerprints' prefixes; at most 2^BITMAP_BITS / 64 rows come to the driver."""
-    at = marked.select(_bits(F.col("fingerprint")).alias("b"))
-    words = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-    got = words.toPandas()
-    out = np.zeros((1 << BITMAP_BITS) // 64, np.uint64)
-    out[got.w.to_numpy(np.int64)] = got.v.to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, class_id) of documents that share a digest, by byte comparison.
 
@@ -85,15 +69,14 @@ def classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     shared = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
-    bitmap = spark.sparkContext.broadcast(_bitmap(shared))
+    bitmap = spark.sparkContext.broadcast(common.bitmap(shared, F.conv(F.substring("fingerprint", 1, 12), 16, 10).cast("long")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         marks, rows = bitmap.value, []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             data = canonical(text).encode()
             name = xxhash.xxh3_128_hexdigest(data)
-            b = int(name[:7], 16) & ((1 << BITMAP_BITS) - 1)
-            if int(marks[b >> 6]) >> (b & 63) & 1:
+            if common.is_marked(marks, int(name[:12], 16)):
                 rows.append((doc_id, name, data))
         ids, names, datas = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(datas, pa.binary())], ["doc_id", "fingerprint", "data"])

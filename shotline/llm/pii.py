@@ -19,6 +19,7 @@ import re
 from functools import lru_cache
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,7 +218,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     """The same rows and columns with personal data replaced in ``text``; null texts stay null."""
 
     @F.pandas_udf("string")
-    def clean(text):
+    def clean(text: pd.Series) -> pd.Series:
         return text.map(lambda t: t if t is None else redacted(t, found) if (found := spans(t)) else t)
 
     common.bound_batches(docs.sparkSession)
