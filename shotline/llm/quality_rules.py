@@ -69,7 +69,11 @@ def _stop_hashes() -> str:
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with the figures that rules are made of, in columns of their own names."""
+    """The rows with the figures that rules are made of, in columns of their own names, and `_seen`.
+
+    `_seen` is always true but not deterministic: rules that refer to it can't be
+    pushed below the figures, where each use would compute the arrays anew.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     kept = [F.col(f"`{c}`") for c in docs.columns]
     # Each step's arrays are used more than once by the next, so that the optimiser doesn't inline them into a lambda.
@@ -93,13 +97,14 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_stop_words": F.expr(f"size(filter(_hashes, h -> h in ({_stop_hashes()})))").cast("long"),
         "n_repeat_words": repeated,
+        "_seen": F.monotonically_increasing_id() >= 0,
     }
     return df.select(*kept, *(x.alias(n) for n, x in out.items()))
 
 
 def compiled(rules: tuple[Rule, ...]) -> Column:
-    """All rules as one expression."""
-    held = F.lit(True)
+    """All rules as one expression over `counted`."""
+    held = F.col("_seen")
     for rule in rules:
         held = held & rule.holds()
     return held
