@@ -34,7 +34,7 @@ from shotline.llm.toxicity import fold, sampled
 
 #: Labelled vectors, rows the space is fitted on, and its dimensions.
 REFERENCES, SPACE_ROWS, DIMENSIONS = 4_096, 2_048, 48
-NEIGHBOURS, POWER = 15, 8
+NEIGHBOURS, POWER = 15, 24
 WORD_BINS, SHAPE_BINS = 2_048, 256
 WIDTH = WORD_BINS + SHAPE_BINS + 1
 #: Weights of the blocks of terms: words, shapes, repeats.
