@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import weakref
 from functools import lru_cache
 from itertools import islice
 
@@ -20,8 +21,8 @@ from tokenizers import Tokenizer
 
 from shotline.llm.common import cpu_threads_off
 
-#: Entries of a worker's cache; beyond that it is emptied and fills again.
-CACHE_ENTRIES = 400_000
+#: Entries of all of a worker's caches together; beyond that they are emptied and fill again.
+CACHE_ENTRIES = 200_000
 #: Chunks longer than this many characters aren't kept.
 LONGEST_KEPT = 64
 #: Latin letters in one pre-token class, and punctuation that forms runs of its own.
@@ -44,17 +45,33 @@ def packed(ids: list[int]) -> bytes:
 
 
 class Cache(dict):
-    """Chunk -> value, made by `make` on a miss; bounded."""
+    """Chunk -> value, made by `make` on a miss; bounded by itself and together with the process's other caches.
+
+    A worker process serves one stage after another: what an earlier stage has
+    cached goes as soon as a later one needs the room.
+    """
+
+    held = 0
+    others: weakref.WeakSet = weakref.WeakSet()
 
     def __init__(self, make, entries: int = CACHE_ENTRIES):
         self.make, self.entries = make, entries
+        self.others.add(self)
+
+    __hash__ = object.__hash__
+
+    def __eq__(self, other):
+        return self is other
 
     def __missing__(self, chunk: str):
         value = self.make(chunk)
         if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= self.entries:
-                self.clear()
+            if len(self) >= self.entries or Cache.held >= CACHE_ENTRIES:
+                for cache in list(self.others) if Cache.held >= CACHE_ENTRIES else [self]:
+                    cache.clear()
+                Cache.held = sum(map(len, list(self.others)))
             self[chunk] = value
+            Cache.held += 1
         return value
 
 
