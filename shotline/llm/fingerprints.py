@@ -9,8 +9,10 @@ a digest are compared byte by byte with the bucket's first document; those that
 differ (a collision) are grouped by their bytes. Only such documents' texts are
 shuffled: a bitmap of fixed size (`common.BITMAP_BITS`) over digest prefixes, built by
 an aggregation, tells map tasks which texts to send; if it saturates, more texts
-travel and the result stays the same. A bucket's documents are joined to its one
-representative, never collected or paired with each other.
+travel and the result stays the same. Each task compares its own texts first and
+sends equal ones once, with their doc_ids, holding `COMBINE_BYTES` at a time. A
+bucket's texts are joined to its one representative, never collected or paired
+with each other.
 
 Null texts count as empty; empty texts share a fingerprint. Null doc_ids sort
 before all others and keep a null class; rows of one doc_id are ordered by text;
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -33,6 +36,8 @@ from shotline.llm import common
 
 _OWN, _AHEAD, _WRAPPED = 0, 1, 2
 _LEAST = -(1 << 63)
+#: Equal texts of one task are combined before they are sent; this many bytes are held at a time.
+COMBINE_BYTES = 16 << 20
 
 
 def canonical(text: str) -> str:
@@ -62,34 +67,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.over_batches(common.texts(docs), run, "doc_id long, fingerprint string")
 
 
-def classes(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _hash(data: bytes) -> str:
+    return xxhash.xxh3_128_hexdigest(data)
+
+
+def classes(docs: DataFrame, found: DataFrame, hashed: Callable[[bytes], str] = _hash) -> DataFrame:
     """(doc_id, fingerprint, class_id) of documents that share a digest, by byte comparison.
 
-    `found` has (doc_id, fingerprint) of all documents; the class is its least doc_id.
+    `found` has (doc_id, fingerprint) of all documents, `hashed` of canonical bytes;
+    the class is its least doc_id.
     """
     spark = docs.sparkSession
     shared = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
     bitmap = spark.sparkContext.broadcast(common.bitmap(shared, F.conv(F.substring("fingerprint", 1, 12), 16, 10).cast("long")))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        marks, rows = bitmap.value, []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            data = canonical(text).encode()
-            name = xxhash.xxh3_128_hexdigest(data)
-            if common.is_marked(marks, int(name[:12], 16)):
-                rows.append((doc_id, name, data))
-        ids, names, datas = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(datas, pa.binary())], ["doc_id", "fingerprint", "data"])
-
-    sent = common.over_batches(common.texts(docs), run, "doc_id long, fingerprint string, data binary").where("doc_id is not null")
-    first = sent.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "data")).alias("first"))
+    def flushed(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([min(ids) for _, ids in held.values()], pa.int64()), pa.array([ids for _, ids in held.values()], pa.list_(pa.int64())), pa.array([n for n, _ in held.values()], pa.string()), pa.array(list(held), pa.binary())],
+            ["least", "ids", "fingerprint", "data"],
+        )
+
+    def run(batches):
+        marks, held, size = bitmap.value, {}, 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                data = canonical(text).encode()
+                known = held.get(data)
+                if known:
+                    known[1].append(doc_id)
+                    size += 16
+                else:
+                    name = hashed(data)
+                    if common.is_marked(marks, int(name[:12], 16)):
+                        held[data] = (name, [doc_id])
+                        size += len(data) + 256
+                if size > COMBINE_BYTES:
+                    yield flushed(held)
+                    held, size = {}, 0
+        yield flushed(held)
+
+    common.bound_batches(spark)
+    sent = common.texts(docs).where("doc_id is not null").mapInArrow(run, "least long, ids array<long>, fingerprint string, data binary")
+    first = sent.groupBy("fingerprint").agg(F.min(F.struct("least", "data")).alias("first"))
     compared = sent.join(first, "fingerprint").select(
-        "doc_id", "fingerprint", F.col("first.doc_id").alias("first_id"), F.when(F.col("data") != F.col("first.data"), F.col("data")).alias("other")
+        "least", "ids", "fingerprint", F.col("first.least").alias("first_id"), F.when(F.col("data") != F.col("first.data"), F.col("data")).alias("other")
     )
     compared = common.checkpointed(compared)
-    odd = compared.where("other is not null").groupBy("fingerprint", "other").agg(F.min("doc_id").alias("odd_id"))
+    odd = compared.where("other is not null").groupBy("fingerprint", "other").agg(F.min("least").alias("odd_id"))
     out = compared.join(odd, ["fingerprint", "other"], "left")
-    return out.select("doc_id", "fingerprint", F.coalesce("odd_id", "first_id").alias("class_id")).distinct()
+    return out.select(F.explode("ids").alias("doc_id"), "fingerprint", F.coalesce("odd_id", "first_id").alias("class_id")).distinct()
 
 
 def edited(text: str, following: str) -> str:
