@@ -20,8 +20,10 @@ With 40 bands of 7 registers two texts at similarity 0.8 share a bucket with
 probability 0.9999, at 0.5 with 0.27.
 
 Rows are classed by their text; null texts are empty; null doc_ids get a null
-class; rows that repeat a doc_id are one node per text; an empty table gives an
-empty result; further columns are ignored (and kept by `keep_one`).
+class; where rows repeat a doc_id with different texts, each row has its own
+text's class, and texts whose least doc_id is the same count as one document, so
+their classes are one (`keep_one` keeps each of these texts once); an empty table
+gives an empty result; further columns are ignored (and kept by `keep_one`).
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotline.llm import common, probminhash
@@ -41,8 +43,13 @@ BANDS, ROWS = 40, 7
 BLOCK_BYTES = 8 << 20
 
 
+def _row() -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, content, n, keys): digest of the words, number of distinct shingles, band keys (none without words)."""
+    """(doc_id, row, content, n, keys): hash of the text, digest of the words, number of distinct shingles, band keys (none without words)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = batch.column("text").to_pylist()
@@ -51,11 +58,11 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         content = [xxhash.xxh3_128_digest(" ".join(t.split()).encode()) for t in found]
         sizes = [len(h) for h, _ in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(sizes, pa.int64()), pa.array([k if n else None for k, n in zip(keys, sizes, strict=True)], pa.list_(pa.int64()))],
-            ["doc_id", "content", "n", "keys"],
+            [batch.column("doc_id"), batch.column("row"), pa.array(content, pa.binary()), pa.array(sizes, pa.int64()), pa.array([k if n else None for k, n in zip(keys, sizes, strict=True)], pa.list_(pa.int64()))],
+            ["doc_id", "row", "content", "n", "keys"],
         )
 
-    return common.over_batches(common.texts(docs), run, "doc_id long, content binary, n long, keys array<long>")
+    return common.over_batches(common.texts(docs, _row().alias("row")), run, "doc_id long, row long, content binary, n long, keys array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -131,8 +138,8 @@ def across(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id) of every row."""
+def classed(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, row, content, class_id) of every row."""
     every = common.checkpointed(signed(docs, bands, rows))
     known = every.where("doc_id is not null and n > 0")
     units = known.groupBy("content").agg(F.min(F.struct("doc_id", "n", "keys")).alias("u"))
@@ -147,15 +154,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     more = common.checkpointed(across(parted, docs, similarity))
     labels = components(links.union(more))
     of = units.select("content", "node").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("class"))
-    out = every.select("doc_id", "n", "content").join(of, "content", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("class")), "doc_id")).alias("class_id"))
+    out = every.select("doc_id", "row", "n", "content").join(of, "content", "left")
+    named = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("class")), "doc_id"))
+    return out.select("doc_id", "row", "content", named.alias("class_id"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id) of every row."""
+    return classed(docs, similarity, bands, rows).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of each class's first document, with their own columns; rows without doc_id stay."""
-    keepers = classes(docs, similarity).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Each class's first document, with its own columns; rows without doc_id stay.
+
+    If that document's doc_id has several texts of different words, each stays once.
+    """
+    found = classed(docs, similarity).where("doc_id = class_id")
+    keepers = found.groupBy("doc_id", "content").agg(F.min("row").alias("row")).select("doc_id", "row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), whole.alias("whole"))
+    kept = named.join(keepers, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    return kept.select("whole.*").unionByName(docs.where("doc_id is null"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,6 +262,13 @@ def test_near_duplicates_edges(spark, docs, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7, 9]
 
 
+def test_one_stays_of_rows_that_repeat_a_doc_id_with_different_texts(spark):
+    a, b, c, d = ("one two three four five six", "red green blue black white grey", "b c d e f g h", "north south east west up down")
+    rows = [(5, a), (9, a), (9, b), (9, b.replace(" ", "  ")), (9, b), (9, c), (11, c), (12, b), (20, d), (20, d), (None, d)]
+    got = sorted((r.doc_id or -1, " ".join(r.text.split())) for r in near_duplicates.keep_one(table(spark, rows)).collect())
+    assert got == sorted([(-1, d), (5, a), (9, b), (9, c), (20, d)])
+
+
 def test_signatures_estimate_probability_jaccard():
     random.seed(3)
     a = {x: random.choice([1.0, 1.0, 2.0]) for x in range(300)}
