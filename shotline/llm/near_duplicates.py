@@ -14,7 +14,8 @@ classes of their own.
    all nodes of different components are compared, inside blocks of at most
    `BLOCK_BYTES` of shingles (large buckets are split, and each two blocks of one
    meet), and only links are emitted. No bucket, partner or candidate is capped.
-4. Components of all links, joined back to all documents.
+4. Components of all links, joined back to all documents; classes of the texts
+   with most copies are broadcast (`HOT_SHARE` texts at most).
 
 With 40 bands of 7 registers two texts at similarity 0.8 share a bucket with
 probability 0.9999, at 0.5 with 0.27.
@@ -39,6 +40,8 @@ from shotline.llm.components import components
 
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 7
+#: Texts that at least one row in so many holds (at most so many texts) get their class by broadcast.
+HOT_SHARE = 1_000
 #: Shingles (8 bytes each) of one block of a bucket.
 BLOCK_BYTES = 8 << 20
 
@@ -142,8 +145,8 @@ def classed(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     """(doc_id, row, content, class_id) of every row."""
     every = common.checkpointed(signed(docs, bands, rows))
     known = every.where("doc_id is not null and n > 0")
-    units = known.groupBy("content").agg(F.min(F.struct("doc_id", "n", "keys")).alias("u"))
-    units = common.checkpointed(units.select("content", F.col("u.doc_id").alias("node"), F.col("u.n").alias("n"), F.col("u.keys").alias("keys")))
+    units = known.groupBy("content").agg(F.min(F.struct("doc_id", "n", "keys")).alias("u"), F.count("*").alias("copies"))
+    units = common.checkpointed(units.select("content", F.col("u.doc_id").alias("node"), F.col("u.n").alias("n"), F.col("u.keys").alias("keys"), "copies"))
     spread = units.select(F.explode("keys").alias("key"), "node", "n")
     buckets = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1")
     members = common.checkpointed(spread.join(buckets, "key").select("key", "node", "n", "centre"))
@@ -153,10 +156,17 @@ def classed(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     parted = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("part"))
     more = common.checkpointed(across(parted, docs, similarity))
     labels = components(links.union(more))
-    of = units.select("content", "node").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("class"))
-    out = every.select("doc_id", "row", "n", "content").join(of, "content", "left")
-    named = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("class")), "doc_id"))
-    return out.select("doc_id", "row", "content", named.alias("class_id"))
+    of = units.select("content", "node", "copies").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("class"), "copies")
+    of = common.checkpointed(of)
+    # Large groups of copies don't meet in a task: contents of so many copies are HOT_SHARE at most, whatever the table.
+    rows_named = units.agg(F.sum("copies")).first()[0] or 0
+    hot = of.where(F.col("copies") * HOT_SHARE >= rows_named).select("content", F.col("class").alias("hot"))
+    found = every.select("doc_id", "row", "n", "content").join(F.broadcast(hot), "content", "left")
+    rest = found.where("hot is null and n > 0 and doc_id is not null").join(of.select("content", "class"), "content", "left")
+    named = ["doc_id", "row", "n", "content"]
+    out = rest.select(*named, "class").union(found.where("hot is not null or n = 0 or doc_id is null").select(*named, F.col("hot").alias("class")))
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("class")), "doc_id"))
+    return out.select("doc_id", "row", "content", class_id.alias("class_id"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -246,9 +246,10 @@ def edited_copies(n=90):
     return [*rows, (500, rows[0][1]), (501, None), (502, ""), (503, "a b"), (504, "a b"), (505, "a b c")]
 
 
-@pytest.mark.parametrize("block", [1 << 23, 4000])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(1 << 23, 1000), (4000, 1)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, hot):
     monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", block)
+    monkeypatch.setattr(near_duplicates, "HOT_SHARE", hot)
     rows = edited_copies()
     got = {r.doc_id: r.class_id for r in near_duplicates.classes(table(spark, rows)).collect()}
     assert got == brute_classes(rows)
