@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shotline.functions import scalar as x
 from shotline.operators import quality
-from shotline.plans.registry import query
+from shotline.plans.registry import ORACLE_SQL, QUERIES, query
 from shotline.sources import fixtures as fx
 
 FOLD = f"translate(lower({{c}}), '{x.ACCENTED}', '{x.PLAIN}')"
@@ -14,41 +14,60 @@ SQZ = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
 
 def _docs(spark, sf):
+    """The first 200 characters, as the SQL of the queries that use it says."""
     return fx.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"), "lang", "source")
 
 
+def _whole(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"), "lang", "source")
+
+
+def _also_whole(f):
+    """Register the same query over whole texts as NAME_whole, with SQL of its own."""
+    name = f"{f.__name__}_whole"
+    QUERIES[name] = lambda spark, sf: f(spark, sf, _whole)
+    ORACLE_SQL[name] = ORACLE_SQL[f.__name__].replace("text[1:200]", "text")
+    return f
+
+
 D = "with d as (select doc_id, text[1:200] as t, lang, source from documents) "
 WORDS = f"trim(regexp_replace(regexp_replace({FOLD.format(c='t')}, '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
+@_also_whole
 @query(f"{D} select doc_id, {SQZ.format(c=FOLD.format(c='t'))} as folded from d")
-def X1_normalise(spark, sf):
-    return _docs(spark, sf).select("doc_id", x.folded(F.col("t")).alias("folded"))
+def X1_normalise(spark, sf, docs=_docs):
+    return docs(spark, sf).select("doc_id", x.folded(F.col("t")).alias("folded"))
 
 
+@_also_whole
 @query(f"{D} select doc_id, {WORDS} as words from d")
-def X2_normalise_words(spark, sf):
-    return _docs(spark, sf).select("doc_id", x.folded_words(F.col("t")).alias("words"))
+def X2_normalise_words(spark, sf, docs=_docs):
+    return docs(spark, sf).select("doc_id", x.folded_words(F.col("t")).alias("words"))
 
 
+@_also_whole
 @query(f"{D}, v as (select doc_id, {SQZ.format(c='lower(t)')} as a, {SQZ.format(c=FOLD.format(c='t'))} as b from d) select doc_id, case when a = b then a else a || '|' || b end as variants from v".replace("from documents) ,", "from documents),"))
-def X3_keyword_variants(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.array_join(x.keyword_variants(F.col("t")), "|").alias("variants"))
+def X3_keyword_variants(spark, sf, docs=_docs):
+    return docs(spark, sf).select("doc_id", F.array_join(x.keyword_variants(F.col("t")), "|").alias("variants"))
 
 
+@_also_whole
 @query(f"{D} select doc_id, trim(regexp_replace(regexp_replace(lower('The answer is: ' || t), '[\\p{{P}}\\p{{S}}]', ' ', 'g'), '\\s+', ' ', 'g'))[15:] as answer from d")
-def X4_answer(spark, sf):
-    return _docs(spark, sf).select("doc_id", x.answer(F.concat(F.lit("The answer is: "), "t")).alias("answer"))
+def X4_answer(spark, sf, docs=_docs):
+    return docs(spark, sf).select("doc_id", x.answer(F.concat(F.lit("The answer is: "), "t")).alias("answer"))
 
 
+@_also_whole
 @query(f"{D}, a as (select doc_id, trim(regexp_replace(regexp_replace(lower(t), '[\\p{{P}}\\p{{S}}]', ' ', 'g'), '\\s+', ' ', 'g')) as w from d) select doc_id, trim(regexp_replace(w, '^(a|an|the)\\s+', '')) as answer from a".replace("from documents) ,", "from documents),"))
-def X5_short_answer(spark, sf):
-    return _docs(spark, sf).select("doc_id", x.short_answer(F.col("t")).alias("answer"))
+def X5_short_answer(spark, sf, docs=_docs):
+    return docs(spark, sf).select("doc_id", x.short_answer(F.col("t")).alias("answer"))
 
 
+@_also_whole
 @query(f"{D} select doc_id, contains(' ' || {WORDS} || ' ', ' of the ') as found from d")
-def X6_phrase(spark, sf):
-    return _docs(spark, sf).select("doc_id", x.has_phrase(F.col("t"), F.lit("of the")).alias("found"))
+def X6_phrase(spark, sf, docs=_docs):
+    return docs(spark, sf).select("doc_id", x.has_phrase(F.col("t"), F.lit("of the")).alias("found"))
 
 
 @query("select page_id, lower(regexp_replace(string_split(url, '/')[-1], '\\.[^.]+$', '')) as name from pages")
@@ -80,11 +99,12 @@ def X10_interval_iou(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", F.round(iou(d(i % 7), d(i % 7 + i % 5), d(i % 4), d(i % 4 + 3)), 6).alias("iou"))
 
 
+@_also_whole
 @query("with c as (select * from (values ('ocr', 'from', 0.9), ('asr', 'heit', 0.7), ('asr', 'la', 0.4)) t(modality, cue, confidence)), d as (select doc_id, " + WORDS + " as w from (select doc_id, text[1:200] as t from documents)) select doc_id, modality, max(confidence)::double as score from d join c on contains(' ' || w || ' ', ' ' || cue || ' ') group by all")
-def X11_router_signals(spark, sf):
+def X11_router_signals(spark, sf, docs=_docs):
     """Cue table, broadcast (fixed size)."""
     cues = spark.createDataFrame([("ocr", "from", 0.9), ("asr", "heit", 0.7), ("asr", "la", 0.4)], "modality string, cue string, confidence double")
-    d = _docs(spark, sf).select("doc_id", F.concat(F.lit(" "), x.folded_words(F.col("t")), F.lit(" ")).alias("w"))
+    d = docs(spark, sf).select("doc_id", F.concat(F.lit(" "), x.folded_words(F.col("t")), F.lit(" ")).alias("w"))
     j = d.join(F.broadcast(cues), F.expr("contains(w, concat(' ', cue, ' '))"))
     return j.groupBy("doc_id", "modality").agg(F.max("confidence").alias("score"))
 
@@ -104,9 +124,10 @@ def X14_quote(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20")).alias("quoted"))
 
 
+@_also_whole
 @query(f"{D} select doc_id, regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, sha256(t)[1:8] as hash from d")
-def X15_slug(spark, sf):
-    return _docs(spark, sf).select("doc_id", x.slug(F.col("t")).alias("slug"), F.substring(F.sha2("t", 256), 1, 8).alias("hash"))
+def X15_slug(spark, sf, docs=_docs):
+    return docs(spark, sf).select("doc_id", x.slug(F.col("t")).alias("slug"), F.substring(F.sha2("t", 256), 1, 8).alias("hash"))
 
 
 @query("select conv_id, turn from (select conv_id, turn, sum(length(text)) over (partition by conv_id order by turn) as used from conversations) where used <= 1300")
@@ -119,7 +140,7 @@ def X16_budget(spark, sf):
 
 @query()
 def X17_label_tokens(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.array_join(x.label_tokens(F.col("t")), " ").alias("label"))
+    return _whole(spark, sf).select("doc_id", F.array_join(x.label_tokens(F.col("t")), " ").alias("label"))
 
 
 @query("select conv_id, turn, pos, trim(part) as part from (select conv_id, turn, unnest(p) as part, generate_subscripts(p, 1) - 1 as pos from (select conv_id, turn, regexp_split_to_array(text, ' (?:and|then|la|der) ')[1:5] as p from conversations)) where trim(part) <> ''")

@@ -1,0 +1,33 @@
+"""The scalar queries read all of a text, not its head."""
+
+from __future__ import annotations
+
+import pytest
+
+from shotline.plans.registry import QUERIES
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("long")
+    text = "word " * 60 + "Zebras heit found of the end"
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_label_tokens_of_a_long_text(spark, long_docs):
+    assert QUERIES["X17_label_tokens"](spark, long_docs).first().label == "end found heit word zebra"
+
+
+@pytest.mark.parametrize(
+    "name, column, end",
+    [("X1_normalise", "folded", "of the end"), ("X2_normalise_words", "words", "of the end"), ("X3_keyword_variants", "variants", "of the end"),
+     ("X4_answer", "answer", "of the end"), ("X5_short_answer", "answer", "of the end"), ("X15_slug", "slug", "of-the-end")],
+)
+def test_whole_text_to_its_end(spark, long_docs, name, column, end):
+    assert QUERIES[f"{name}_whole"](spark, long_docs).first()[column].endswith(end)
+
+
+def test_phrase_and_cue_behind_the_head(spark, long_docs):
+    assert QUERIES["X6_phrase_whole"](spark, long_docs).first().found
+    assert [tuple(r) for r in QUERIES["X11_router_signals_whole"](spark, long_docs).collect()] == [(1, "asr", 0.7)]
