@@ -153,6 +153,17 @@ def F8_evidence_rerank(spark, sf):
     return out.select("query_id", "frame_id", "place", r6("score").alias("score"))
 
 
+@query(f"""{HEAD} {SCORED}, {SRRF} {RANKED}, {fx.DOCS_SQL}, e as (select query_id, frame_id, max((doc_id % 10) / 10.0::double * ((doc_id % 5) / 5.0::double)) as best, sum((doc_id % 10) / 10.0::double) as s, count(*) as n from text_docs, (select distinct query_id from queries) group by all),
+n as (select r.*, rank <= 30 as head, case when rank <= 30 then score + coalesce(0.20 * best + 0.02 * least(1.0, n / 3.0::double) * s, 0) else score end as new from r left join e using (query_id, frame_id))
+select query_id, frame_id, row_number() over (partition by query_id order by head desc, case when head then -round(new, 9) else 0 end, rank) as place, round(new / max(new) over (partition by query_id), 6) as score from n""")
+def F8_evidence_rerank_whole(spark, sf):
+    """All documents are evidence, each of its frame."""
+    d = fx.text_docs(spark, sf).select("frame_id", ((F.col("doc_id") % 10) / 10).alias("aux"), ((F.col("doc_id") % 5) / 5).alias("quality"))
+    ev = d.crossJoin(F.broadcast(fx.queries(spark, sf).select("query_id").distinct()))
+    out = fusion.evidence_rerank(_ranked(spark, sf).select("query_id", "frame_id", "rank", "score"), ev, ["query_id"])
+    return out.select("query_id", "frame_id", "place", r6("score").alias("score"))
+
+
 @query("select event_id, round((x + 0.3 * o / greatest(20.0, 15.0) + 0.3 * a / greatest(10.0, 15.0)) / 1.6::double, 6) as score from (select event_id, (event_id % 100) / 100.0::double as x, (event_id % 20)::double as o, coalesce(case when event_id % 3 = 0 then null else (event_id % 10)::double end, 0) as a from events)")
 def F9_window_bonus(spark, sf):
     e = fx.table(spark, sf, "events")

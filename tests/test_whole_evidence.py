@@ -1,0 +1,23 @@
+"""Reranking counts the evidence of all documents."""
+
+from __future__ import annotations
+
+import random
+
+from shotline.plans.registry import QUERIES
+
+
+def test_evidence_beyond_the_first_documents(spark, tmp_path):
+    """Documents 500 and more after a frame lift it."""
+    random.seed(4)
+    vectors = [(k, [random.gauss(0, 1) for _ in range(4)], 0) for k in range(20)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def places(docs):
+        spark.createDataFrame([(d, "x") for d in docs], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        return {(r.query_id, r.frame_id): r.place for r in QUERIES["F8_evidence_rerank_whole"](spark, str(tmp_path)).collect()}
+
+    without = places([0])
+    last = max((f for q, f in without if q == 0 and f % 10 not in (0, 5)), key=lambda f: without[0, f])
+    assert without[0, last] > 1
+    assert places([last + 500 * n for n in range(2, 40)])[0, last] < without[0, last]
