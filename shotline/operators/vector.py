@@ -32,9 +32,30 @@ def scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(queries), "model").select("query_id", "model", "frame_id", cosine("embedding", "q").alias("score"))
 
 
+def scored_in_blocks(vectors: DataFrame, queries: DataFrame, size: int = 1000) -> DataFrame:
+    """The same for queries that grow with the table: tiles of about `size` queries by a share of the vectors.
+
+    Counts the queries at once. One block is broadcast; more of them are shuffled with the vectors, so no task or
+    driver holds all queries.
+    """
+    blocks = -(-queries.count() // size)
+    if blocks <= 1:
+        return scored(vectors, queries)
+    chunks = 4 * blocks
+    of = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    v = vectors.withColumn("chunk", of(chunks, "frame_id")).withColumn("block", every(blocks))
+    q = queries.withColumn("block", of(blocks, "query_id")).withColumn("chunk", every(chunks)).hint("merge")
+    return v.join(q, ["model", "block", "chunk"]).select("query_id", "model", "frame_id", cosine("embedding", "q").alias("score"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Best k frames of each query and model; ties by frame_id. Spark limits groups before the shuffle."""
-    return top_per(scored(vectors, queries), ["query_id", "model"], [F.desc("score"), F.asc("frame_id")], k)
+    return best(scored(vectors, queries), k)
+
+
+def best(scores: DataFrame, k: int) -> DataFrame:
+    return top_per(scores, ["query_id", "model"], [F.desc("score"), F.asc("frame_id")], k)
 
 
 def max_merge(hits: DataFrame, k: int, keys: tuple[str, ...] = ("model",)) -> DataFrame:

@@ -175,7 +175,7 @@ nn as (select query_id, count(distinct target) as n from qr group by all), a as
 def _results(spark, sf):
     res = _hits(spark, sf).where("model = 'a'").select("query_id", "rank", F.col("frame_id").alias("item"))
     e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "label")
-    q = e.where("item in (0, 7, 42)").select(F.col("item").alias("query_id"), "label")
+    q = e.where(fx.is_query("item")).select(F.col("item").alias("query_id"), "label")
     return res, e.join(F.broadcast(q), "label").select("query_id", "item", F.expr("item div 5").alias("target"))
 
 

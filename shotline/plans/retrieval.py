@@ -20,11 +20,11 @@ SRRF = """srrf as (select query_id, frame_id, sum(0.5 / (60 + rank) + 0.5 * (sco
 
 
 def _scored(spark, sf):
-    return vector.scored(fx.vectors(spark, sf), fx.queries(spark, sf))
+    return vector.scored_in_blocks(fx.vectors(spark, sf), fx.queries(spark, sf))
 
 
 def _hits(spark, sf, k=100):
-    return vector.top_k(fx.vectors(spark, sf), fx.queries(spark, sf), k)
+    return vector.best(_scored(spark, sf), k)
 
 
 def _fused(spark, sf):

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VIDEO_FRAMES, SHOT_FRAMES = 50, 25
+VIDEO_FRAMES, SHOT_FRAMES, QUERY_STEP = 50, 25, 50
+_EVERY: ContextVar[bool] = ContextVar("every", default=False)
+
+
+@contextmanager
+def every_query():
+    """Inside, the queries are all rows whose id is divisible by QUERY_STEP, not a few chosen ones."""
+    token = _EVERY.set(True)
+    try:
+        yield
+    finally:
+        _EVERY.reset(token)
+
+
+def is_query(c: str, ids: tuple[int, ...] = (0, 7, 42)) -> Column:
+    return F.col(c) % QUERY_STEP == 0 if _EVERY.get() else F.col(c).isin(*ids)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +48,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (0, 7, 42)) -> DataFrame:
-    """query_id, model, q: a few stored vectors."""
-    v = vectors(spark, sf_dir).where(F.col("frame_id").isin(*ids))
+    """query_id, model, q: a few stored vectors, or within every_query() a fixed share of them."""
+    v = vectors(spark, sf_dir).where(is_query("frame_id", ids))
     return v.select(F.col("frame_id").alias("query_id"), "model", F.col("embedding").alias("q"))
 
 

@@ -1,0 +1,34 @@
+"""The searches run all queries: every row whose id is divisible by 50."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from shotline.operators import vector
+from shotline.plans.registry import ORACLE_SQL, QUERIES
+from shotline.sources import fixtures as fx
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_all_queries_are_run(spark):
+    got = {r.query_id for r in QUERIES["entry_search_whole"](spark, SF).select("query_id").collect()}
+    assert got == set(range(0, 500, 50))
+
+
+def test_sql_differs_only_in_the_queries():
+    few = {n for n, s in ORACLE_SQL.items() if fx.QUERIES_SQL in s}
+    assert few - {n.removesuffix("_whole") for n in QUERIES if n.endswith("_whole")} == {"L1_topk"}
+    assert not [n for n in QUERIES if n.endswith("_whole") and "(0, 7, 42)" in ORACLE_SQL[n]]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_blocks_score_every_pair_once(spark, size):
+    random.seed(5)
+    rows = [(m, k, [random.gauss(0, 1) for _ in range(3)]) for m in "ab" for k in range(30)]
+    v = spark.createDataFrame(rows, "model string, frame_id long, embedding array<double>")
+    q = v.where("frame_id % 3 = 0").select(F.col("frame_id").alias("query_id"), "model", F.col("embedding").alias("q"))
+    assert sorted(vector.scored_in_blocks(v, q, size).collect()) == sorted(vector.scored(v, q).collect())
