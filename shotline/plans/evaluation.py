@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shotline.operators import evaluate, quality
-from shotline.plans.registry import query
+from shotline.plans.registry import ORACLE_SQL, query
 from shotline.plans.retrieval import HEAD, SCORED, _hits
 from shotline.sources import fixtures as fx
 
@@ -192,15 +192,21 @@ def E2_novelty(spark, sf):
 
 
 @query(f"with {fx.FRAMES_SQL}, p as (select frame_id, video_id, timestamp_sec - 1 as a, timestamp_sec + 1 as b from frames where frame_id % 3 = 0), t as (select video_id, min(timestamp_sec) as c, max(timestamp_sec) / 2 as d from frames group by all) select frame_id, round(greatest(0, least(b, d) - greatest(a, c)) / (greatest(b, d) - least(a, c)), 6) as iou from p join t using (video_id)")
-def E4_temporal_iou(spark, sf):
+def E4_temporal_iou(spark, sf, which="frame_id % 3 = 0"):
     from shotline.operators.temporal import iou
 
     f = fx.frames(spark, sf)
     t = f.groupBy("video_id").agg(F.min("timestamp_sec").alias("c"), (F.max("timestamp_sec") / 2).alias("d"))
-    p = f.where("frame_id % 3 = 0").join(t, "video_id")
+    p = f.where(which).join(t, "video_id")
     return p.select("frame_id", r6(iou(F.col("timestamp_sec") - 1, F.col("timestamp_sec") + 1, F.col("c"), F.col("d"))).alias("iou"))
 
 
+@query(ORACLE_SQL["E4_temporal_iou"].replace(" where frame_id % 3 = 0", ""))
+def E4_temporal_iou_whole(spark, sf):
+    """Every frame is a prediction."""
+    return E4_temporal_iou(spark, sf, "true")
+
+
 @query("with s as (select user_id as query_id, list(distinct event_type) filter (event_id % 2 = 0) as p, list(distinct event_type) filter (event_id % 3 = 0) as e from events group by all) select query_id, round(case when p is null then (case when e is null then 1 else 0 end) else len(list_intersect(p, coalesce(e, []))) / len(p)::double end, 6) as precision, round(case when e is null then 1 else len(list_intersect(coalesce(p, []), e)) / len(e)::double end, 6) as recall from s")
 def E5_routes(spark, sf):
     e = fx.table(spark, sf, "events")

@@ -19,7 +19,7 @@ def S1_discover(spark, sf):
 
 @query()
 def S2_fingerprints(spark, sf):
-    return store.fingerprints(spark, f"{sf}/region.parquet").select("video_id", "checksum")
+    return store.fingerprints(spark, sf).select("video_id", "checksum")
 
 
 @query("select event_id, props->>'$.page' as page, props->>'$.k' as k from events where event_id % 10 <> 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shotline.operators import chains, ranking, temporal, vector
-from shotline.plans.registry import query
+from shotline.plans.registry import ORACLE_SQL, query
 from shotline.sources import fixtures as fx
 
 r6 = lambda c: F.round(c, 6)
@@ -215,11 +215,20 @@ def J13_alignment(spark, sf):
 @query(f"""{INTERVALS}, mo as (select vec_id as moment_id, vec_id // 50 as video_id, cast((vec_id % 50) * 2 as double) as m_start, cast((vec_id % 50) * 2 as double) + 4 as m_end from embeddings where vec_id % 10 = 0),
 j as (select moment_id, doc_id, row_number() over (partition by moment_id order by abs((start_sec + end_sec) / 2 - (m_start + m_end) / 2), doc_id) as rank from mo join iv using (video_id) where start_sec <= m_end + 2 and end_sec >= m_start - 2) select * from j where rank <= 8""")
 def J14_interval_overlap(spark, sf):
-    f = fx.frames(spark, sf).where("frame_id % 10 = 0")
+    return _overlap(fx.frames(spark, sf).where("frame_id % 10 = 0"), spark, sf)
+
+
+def _overlap(f, spark, sf):
     m = f.select(F.col("frame_id").alias("moment_id"), "video_id", F.col("timestamp_sec").alias("m_start"), (F.col("timestamp_sec") + 4).alias("m_end"))
     return temporal.overlap(m, temporal.infer_intervals(fx.speech(spark, sf))).select("moment_id", "doc_id", "rank")
 
 
+@query(ORACLE_SQL["J14_interval_overlap"].replace(" where vec_id % 10 = 0", ""))
+def J14_interval_overlap_whole(spark, sf):
+    """Every frame is a moment."""
+    return _overlap(fx.frames(spark, sf), spark, sf)
+
+
 @query(f"with {fx.FRAMES_SQL}, {fx.DOCS_SQL} select shot_id, count(distinct f.frame_id) as n_frames, coalesce(string_agg(d.doc_id::varchar, ' | ' order by d.doc_id), '') as docs from frames f left join text_docs d using (frame_id) group by all")
 def J15_shot_listing(spark, sf):
     d = fx.text_docs(spark, sf).select("frame_id", "doc_id")
@@ -243,8 +252,8 @@ def _similar(spark, sf):
     return vector.positions(fx.frames(spark, sf)).join(sim, "frame_id").withColumnRenamed("timestamp_sec", "ts")
 
 
-def _seeds(f):
-    return f.where("frame_id % 25 = 12").select(F.col("frame_id").alias("seed_id"), "video_id", "shot_id", "pos")
+def _seeds(f, which="frame_id % 25 = 12"):
+    return f.where(which).select(F.col("frame_id").alias("seed_id"), "video_id", "shot_id", "pos")
 
 
 @query(f"{SIM} {SCAN.format(d='f', s='1')} select seed_id, edge as end_pos from ef")
@@ -253,12 +262,26 @@ def W3_forward_scan(spark, sf):
     return temporal.forward_ends(f, _seeds(f)).select("seed_id", F.col("end_pos").cast("long"))
 
 
+@query(ORACLE_SQL["W3_forward_scan"].replace(" where frame_id % 25 = 12", ""))
+def W3_forward_scan_whole(spark, sf):
+    """Every frame is a seed."""
+    f = _similar(spark, sf)
+    return temporal.forward_ends(f, _seeds(f, "true")).select("seed_id", F.col("end_pos").cast("long"))
+
+
 @query(f"{SIM} {SCAN.format(d='b', s='-1')} select seed_id, edge as start_pos from eb")
 def W4_backward_scan(spark, sf):
     f = _similar(spark, sf)
     return temporal.backward_starts(f, _seeds(f)).select("seed_id", F.col("start_pos").cast("long"))
 
 
+@query(ORACLE_SQL["W4_backward_scan"].replace(" where frame_id % 25 = 12", ""))
+def W4_backward_scan_whole(spark, sf):
+    """Every frame is a seed."""
+    f = _similar(spark, sf)
+    return temporal.backward_starts(f, _seeds(f, "true")).select("seed_id", F.col("start_pos").cast("long"))
+
+
 SEG = f"""{SIM}, s as (select video_id, shot_id, pos as start_pos, pos + 1 as end_pos, pos as centre from fs where sim > 0.1),
 n as (select *, case when coalesce(start_pos > max(end_pos) over (partition by video_id, shot_id order by start_pos rows between unbounded preceding and 1 preceding) + 2, true) then 1 else 0 end as new from s),
 i as (select *, sum(new) over (partition by video_id, shot_id order by start_pos) as island from n), seg as (select video_id, shot_id, min(start_pos) as start_pos, max(end_pos) as end_pos, min(centre) as centre from i group by video_id, shot_id, island)"""

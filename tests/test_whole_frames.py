@@ -1,0 +1,27 @@
+"""Every frame is a moment, seed or prediction, and every file gets a fingerprint."""
+
+from __future__ import annotations
+
+import glob
+import hashlib
+
+import pytest
+
+from shotline.plans.registry import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name, column", [("W3_forward_scan", "seed_id"), ("W4_backward_scan", "seed_id"), ("E4_temporal_iou", "frame_id")])
+def test_every_frame(spark, name, column):
+    assert sorted(r[column] for r in QUERIES[f"{name}_whole"](spark, SF).select(column).collect()) == list(range(500))
+
+
+def test_moments_between_the_tens(spark):
+    ids = {r.moment_id for r in QUERIES["J14_interval_overlap_whole"](spark, SF).collect()}
+    assert any(k % 10 for k in ids)
+
+
+def test_every_file_has_a_fingerprint(spark):
+    found = sorted(r.checksum for r in QUERIES["S2_fingerprints"](spark, SF).collect())
+    assert found == sorted(hashlib.sha256(open(p, "rb").read()).hexdigest() for p in glob.glob(f"{SF}/*.parquet"))
