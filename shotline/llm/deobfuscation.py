@@ -33,7 +33,9 @@ SYMBOLS = 60
 _OUTER = ".,!?;:()[]{}\"'…|#%&*=<>/\\~^-_`«»“”‘’"
 _TRAILING = re.compile(r"[$@+]{2,}$")
 _TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
+_PLAIN_OUTER = "".join(c for c in _OUTER if c not in IMITATED)
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
 def symbol(c: str) -> int:
@@ -90,9 +92,19 @@ def suspicious(core: str) -> bool:
     return any(c.isalpha() for c in core)
 
 
+def readings(token: str) -> list[str]:
+    """What may be disguised in a token: its core, and the same with the symbols at its edges that imitate letters.
+
+    The core is left out if it is plain; a doubled letter may be one letter.
+    """
+    core, wide = trimmed(token), token.strip(_PLAIN_OUTER)
+    out = [core] if core and (suspicious(core) or _DOUBLE.search(core) and core.isalpha()) else []
+    return out + [wide] if wide != core and any(c.isalpha() for c in wide) else out
+
+
 def spaced(text: str) -> list[str]:
-    """Runs of four single characters or more, one space apart."""
-    return _SPACED.findall(text)
+    """Runs of three single characters or more, any white space apart, with one space instead."""
+    return [" ".join(run.split()) for run in _SPACED.findall(text)]
 
 
 def restore(core: str, surprise: np.ndarray) -> str:

@@ -58,10 +58,10 @@ def words(text: str, surprise: np.ndarray, restored: Cache) -> set[str]:
 
 
 def plain(token: str, surprise: np.ndarray) -> tuple[str, ...]:
+    """The words of each reading of a token; one that isn't surely disguised also stands as it is."""
     core = deobfuscation.trimmed(token)
-    if not core:
-        return ()
-    return tuple(deobfuscation.restore(core, surprise).split()) if deobfuscation.suspicious(core) else (core,)
+    own = [core] if core and not deobfuscation.suspicious(core) else []
+    return tuple(dict.fromkeys([*own, *(w for x in deobfuscation.readings(token) for w in deobfuscation.restore(x, surprise).split())]))
 
 
 def evidence(word: str) -> list[str]:
