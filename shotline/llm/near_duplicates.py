@@ -11,14 +11,18 @@ classes of their own.
 2. Nodes that share a band key form a bucket. Each is verified against the
    bucket's least node (a star, not all pairs), and the links' components found.
 3. Buckets that then lie in one component hold nothing unknown. In the others,
-   all nodes of different components are compared, inside blocks of at most
-   `BLOCK_BYTES` of shingles (large buckets are split, and each two blocks of one
-   meet), and only links are emitted. No bucket, partner or candidate is capped.
+   all nodes of different components are compared, in tiles of two blocks of
+   bounded rows and bytes (`dealt_blocks`), and only links are emitted. No bucket,
+   partner or candidate is capped.
 4. Components of all links, joined back to all documents; classes of the texts
    with most copies are broadcast (`HOT_SHARE` texts at most).
 
-With 40 bands of 7 registers two texts at similarity 0.8 share a bucket with
-probability 0.9999, at 0.5 with 0.27.
+Signatures estimate the probability Jaccard of weights between 1 and
+`probminhash.HEAVIEST` (a shingle that repeats weighs more), verification computes
+the sets' similarity, so the former is at least the latter / HEAVIEST. With 48
+bands of 7 registers two texts at set similarity 0.8 share a bucket with
+probability 0.99999 if no shingle repeats, and 0.9996 at the worst weights; at 0.5
+with 0.31.
 
 Rows are classed by their text; null texts are empty; null doc_ids get a null
 class; where rows repeat a doc_id with different texts, each row has its own
@@ -39,10 +43,11 @@ from shotline.llm import common, probminhash
 from shotline.llm.components import components
 
 SIMILARITY = 0.8
-BANDS, ROWS = 40, 7
+BANDS, ROWS = 48, 7
 #: Texts that at least one row in so many holds (at most so many texts) get their class by broadcast.
 HOT_SHARE = 1_000
-#: Shingles (8 bytes each) of one block of a bucket.
+#: Members of one block of a bucket, and bytes of their shingles (8 each).
+BLOCK_ROWS = 256
 BLOCK_BYTES = 8 << 20
 
 
@@ -105,16 +110,31 @@ def _within(members: list[tuple[int, int, bool, bytes]], similarity: float):
                 yield (int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j])))
 
 
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """(key, node, part, i, j, side): each member in every tile (i, j) of two blocks of its bucket that it is compared in.
+
+    Only buckets of several components are dealt. The bucket's largest component has blocks of its own, the other members
+    further ones, `BLOCK_ROWS` members and `BLOCK_BYTES` of shingles each at most (about: members are hashed to blocks).
+    Two blocks of the largest component hold nothing unknown and have no tile, so a bucket of one large component and few
+    others costs about its members. `side`: whether the member's block is the tile's second.
+    """
+    per = members.groupBy("key", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    both = per.groupBy("key").agg(F.max(F.struct("rows", "part", "shingles")).alias("major"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts"))
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(n * 8 / BLOCK_BYTES)).cast("int")
+    sizes = both.where("parts > 1").select(
+        "key", F.col("major.part").alias("major"), blocks(F.col("major.rows"), F.col("major.shingles")).alias("majors"),
+        blocks(F.col("rows") - F.col("major.rows"), F.col("shingles") - F.col("major.shingles")).alias("others"),
+    )
+    is_major = F.col("part") == F.col("major")
+    own = F.when(is_major, F.pmod(F.xxhash64("node"), F.col("majors"))).otherwise(F.col("majors") + F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    dealt = members.join(sizes, "key").withColumn("own", own)
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.when(is_major, F.col("majors")).otherwise(F.lit(0)), F.col("majors") + F.col("others") - 1)))
+    return dealt.select("key", "node", "part", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("side"))
+
+
 def across(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links between nodes of different components in one bucket: `members` has (key, node, part, n)."""
-    parts = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("total")).where("lo <> hi")
-    blocks = parts.select("key", F.ceil(F.col("total") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
-    # A member goes to every pair (i, j) of blocks that holds its own; side: whether it is the second of two.
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, "key").withColumn("own", own)
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "node", "part", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("side"))
-    dealt = common.checkpointed(dealt)
+    dealt = common.checkpointed(dealt_blocks(members))
     found = common.marked(docs, dealt.select(F.col("node").alias("doc_id")))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -49,9 +49,13 @@ def shingles(text: str) -> np.ndarray:
     return mixed(out)
 
 
+#: The largest weight. With all weights in 1..HEAVIEST the weighted similarity is at least the sets' divided by it.
+HEAVIEST = 1.05
+
+
 def weights(counts: np.ndarray) -> np.ndarray:
-    """Of shingles that occur so often in their text: slowly rising, so that the set decides."""
-    return 1 + np.log(counts) / 4
+    """Of shingles that occur so often in their text: 1 if once, rising to HEAVIEST, so that the set decides."""
+    return HEAVIEST - (HEAVIEST - 1) / counts
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
