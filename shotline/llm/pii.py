@@ -37,7 +37,9 @@ _UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey")
 _VALUE = re.compile(r"\s?[=:]\s?(\"[^\"\s]{8,}\"|'[^'\s]{8,}'|[^\s\"']{8,})")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
-_USERINFO = re.compile(r"://[^\s/@]+:[^\s/@]+@[^\s]+")
+#: What ends user information, and the characters between a cue and its value at most.
+_USER_END, _SPACE = re.compile(r"[\s/@]"), re.compile(r"\s")
+_VALUE_GAP = 3
 
 
 @lru_cache(1)
@@ -149,24 +151,37 @@ def _ibans(text: str, runs: list[tuple[int, int]]):
 
 
 def _secrets(text: str, keys: list[int], cues: list[tuple[int, int]]):
-    found = [m.span() for at in keys if (not at or not text[at - 1].isalnum()) and (m := _KEY.match(text, at))]
-    found += [m.span(1) for _, stop in cues if (m := _VALUE.match(text, stop))]
+    """Keys and values behind cues, leftmost first (a key that begins a value is part of it); cues inside a span aren't searched, so the work is linear."""
     end = 0
-    for a, b in sorted(found):
-        if a >= end:
-            yield a, b
-            end = b
+    for at, stop in sorted([*((at, None) for at in keys), *cues], key=lambda x: x[1] or x[0]):
+        if stop is None:
+            m = _KEY.match(text, at) if at >= end and (not at or not text[at - 1].isalnum()) else None
+            found = m.span() if m else None
+        else:
+            m = _VALUE.match(text, stop) if stop + _VALUE_GAP >= end else None
+            found = m.span(1) if m else None
+        if found and found[0] >= end:
+            yield found
+            end = found[1]
 
 
 def _urls(text: str, anchors: list[int]):
+    """scheme://user:password@ and all up to white space."""
     end = 0
     for at in anchors:
         start = at
         while start > end and text[start - 1].isascii() and text[start - 1].isalpha():
             start -= 1
-        if start < at and at >= end and (m := _USERINFO.match(text, at)):
-            yield start, m.end()
-            end = m.end()
+        if start == at or at < end:
+            continue
+        stop = _USER_END.search(text, at + 3)
+        if not stop or stop[0] != "@" or text.find(":", at + 4, stop.start() - 1) < 0:
+            continue
+        space = _SPACE.search(text, stop.end())
+        last = space.start() if space else len(text)
+        if last > stop.end():
+            yield start, last
+            end = last
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
