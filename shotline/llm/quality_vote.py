@@ -3,11 +3,13 @@
 Terms are words (hashed, case-folded), shapes of tokens (runs of lower-case and
 capital letters, digits and each symbol) and a word that repeats the one before.
 A text's vector holds the square roots of its terms' shares, rarer words weighing
-more; the latent space is spanned by the leading right singular vectors of a
-bounded sample. Labelled vectors (about `REFERENCES`, a documented bound) are
-broadcast; every document's cosine with all of them is computed exactly, in
-blocks of one matrix product per batch, and its `NEIGHBOURS` nearest vote, each
-weighted by a power of its similarity.
+more: how many documents hold each of the fixed bins is counted over all of them,
+in a narrow pass of `WIDTH` numbers a task. The latent space is spanned by the
+leading right singular vectors of the labelled ones. Those (about `REFERENCES`, a
+documented bound) are broadcast; every document's cosine with all of them is
+computed exactly, in blocks of one matrix product per batch, and its `NEIGHBOURS`
+nearest vote, each weighted by a power of its similarity; of equally near ones
+those with the least doc_id.
 
 Null and empty texts have a zero vector and score the labelled share of ones; so
 does every text if no row is labelled (0.5 then). Repeated rows are scored one by
@@ -32,8 +34,8 @@ from shotline.llm import common
 from shotline.llm.bpe import Cache
 from shotline.llm.toxicity import fold, sampled
 
-#: Labelled vectors, rows the space is fitted on, and its dimensions.
-REFERENCES, SPACE_ROWS, DIMENSIONS = 4_096, 2_048, 48
+#: Labelled vectors, and dimensions of the space.
+REFERENCES, DIMENSIONS = 4_096, 48
 NEIGHBOURS, POWER = 15, 24
 WORD_BINS, SHAPE_BINS = 2_048, 256
 WIDTH = WORD_BINS + SHAPE_BINS + 1
@@ -93,6 +95,9 @@ class Model:
         near = z @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(near, at, 1).min(1, keepdims=True)
+        for row in np.flatnonzero(np.count_nonzero(near >= least, axis=1) > k):  # ties at the last place
+            at[row] = np.argsort(-near[row], kind="stable")[:k]
         weight = np.clip(np.take_along_axis(near, at, 1), 0, 1).astype(np.float64) ** POWER
         total = weight.sum(1)
         vote = (weight * self.labels[at]).sum(1) / np.maximum(total, 1e-12)
@@ -109,6 +114,25 @@ def _leading(x: np.ndarray, k: int) -> np.ndarray:
     return (q @ v.T[:, :k]).astype(np.float32)
 
 
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of documents, and how many of them hold each of the `WIDTH` terms; WIDTH rows come to the driver."""
+
+    def run(batches):
+        held = np.zeros(WIDTH + 1, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held[:-1] += terms(text) > 0
+            held[-1] += batch.num_rows
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["term", "n"])
+
+    common.bound_batches(docs.sparkSession)
+    got = common.texts(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(WIDTH + 1, np.int64)
+    out[got.term.to_numpy(np.int64)] = got.n.to_numpy()
+    return int(out[-1]), out[:-1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", rows: int = REFERENCES) -> Model:
     """Labelled vectors of a bounded sample of the rows that `train` chooses."""
     chosen = F.broadcast(sampled(labels, label, train, rows))  # bounded by `rows`
@@ -128,10 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     x = np.zeros((len(got), WIDTH), np.float32)
     for k, (a, v) in enumerate(zip(got["at"], got["x"], strict=True)):
         x[k, np.asarray(a, np.int64)] = v
-    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0)))
+    n, held = document_frequencies(docs)
+    idf = np.log((1 + n) / (1 + held))
     scales = np.concatenate([idf[:WORD_BINS] / max(1e-6, idf[:WORD_BINS].mean()) * BLOCKS[0], np.full(SHAPE_BINS, BLOCKS[1]), [BLOCKS[2]]]).astype(np.float32)
     x *= scales
-    space = _leading(x[:SPACE_ROWS], min(DIMENSIONS, len(x)))
+    space = _leading(x, min(DIMENSIONS, len(x)))
     z = x @ space
     return Model(scales, space, (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32), got.y.to_numpy(), float(got.y.mean()))
 
