@@ -5,18 +5,19 @@ folded to single spaces; its fingerprint is the 128-bit xxHash (XXH3) of the
 result's UTF-8. Two fingerprints are alike by 1.0 if equal, else by 0.0.
 
 Classes: digests that occur once are classes of their own. Documents that share
-a digest are compared byte by byte with the bucket's first document; those that
-differ (a collision) are grouped by their bytes. Only such documents' texts are
-shuffled: a bitmap of fixed size (`common.BITMAP_BITS`) over digest prefixes, built by
-an aggregation, tells map tasks which texts to send; if it saturates, more texts
-travel and the result stays the same. Each task compares its own texts first and
-sends equal ones once, with their doc_ids, holding `COMBINE_BYTES` at a time. A
-bucket's texts are joined to its one representative, never collected or paired
-with each other.
-
-Null texts count as empty; empty texts share a fingerprint. Null doc_ids sort
-before all others and keep a null class; rows of one doc_id are ordered by text;
-an empty table gives an empty result; further columns are ignored.
+a digest are compared byte by byte. Only their texts are shuffled: a bitmap of
+fixed size (`common.BITMAP_BITS`) over digest prefixes, built by an aggregation,
+tells map tasks which texts to send; if it saturates, more texts travel and the
+result stays the same. Each task compares its own texts first and sends equal
+ones once, with their doc_ids, holding `COMBINE_BYTES` at a time. One shuffle
+brings a bucket together, sorted by its bytes; a stream compares each text with
+the one before it, so a bucket is never collected, and texts that share a digest
+but not their bytes (a collision) are classes of their own.
+
+Null texts count as empty; empty texts share a fingerprint. Null doc_ids (and
+-2^63, which stands for them in the sort) come before all others; a null keeps a
+null class; rows of one doc_id are ordered by text; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,14 +109,20 @@ def classes(docs: DataFrame, found: DataFrame, hashed: Callable[[bytes], str] =
 
     common.bound_batches(spark)
     sent = common.texts(docs).where("doc_id is not null").mapInArrow(run, "least long, ids array<long>, fingerprint string, data binary")
-    first = sent.groupBy("fingerprint").agg(F.min(F.struct("least", "data")).alias("first"))
-    compared = sent.join(first, "fingerprint").select(
-        "least", "ids", "fingerprint", F.col("first.least").alias("first_id"), F.when(F.col("data") != F.col("first.data"), F.col("data")).alias("other")
-    )
-    compared = common.checkpointed(compared)
-    odd = compared.where("other is not null").groupBy("fingerprint", "other").agg(F.min("least").alias("odd_id"))
-    out = compared.join(odd, ["fingerprint", "other"], "left")
-    return out.select(F.explode("ids").alias("doc_id"), "fingerprint", F.coalesce("odd_id", "first_id").alias("class_id")).distinct()
+    sent = sent.repartition(common.partitions(spark), "fingerprint").sortWithinPartitions("fingerprint", "data", "least")
+
+    def compare(batches):
+        last = first = None
+        for batch in batches:
+            out = []
+            for least, name, data in zip(*(batch.column(c).to_pylist() for c in ("least", "fingerprint", "data")), strict=True):
+                if (name, data) != last:
+                    last, first = (name, data), least
+                out.append(first)
+            yield pa.RecordBatch.from_arrays([batch.column("ids"), batch.column("fingerprint"), pa.array(out, pa.int64())], ["ids", "fingerprint", "class_id"])
+
+    out = sent.mapInArrow(compare, "ids array<long>, fingerprint string, class_id long")
+    return out.select(F.explode("ids").alias("doc_id"), "fingerprint", "class_id").distinct()
 
 
 def edited(text: str, following: str) -> str:
