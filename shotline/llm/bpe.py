@@ -86,6 +86,7 @@ class ByteBpe:
         with open(path) as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec["added_tokens"]]
+        self.added_as_written = not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not spec["normalizer"]
         back = {c: b for b, c in byte_symbols().items()}
         vocab = spec["model"]["vocab"]
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in vocab.items()}

@@ -2,12 +2,15 @@
 
 Ordinary chunks come from the worker's cache of `bpe`. A text that holds a run of
 more than `UNSPLIT` bytes which pre-tokenisation doesn't split is encoded by a
-tree: its leaves are encoded in one parallel batch, then neighbours are joined
-level by level. At a join, a window of `WINDOW` ids on either side is encoded
-anew; it grows until its first id equals the left side's and its last id the
-right side's (or the side is used up). A sequence of ids is the merge-rank
-encoding of its bytes exactly if each two neighbours are, so from there on both
-sides stand as they are and the join is exact.
+tree: the run is halved until a part has `LEAF` bytes at most, all parts are
+encoded in parallel (by `THREADS` threads of the worker where there are many),
+then the halves are joined level by level, each level's joins in parallel too. At
+a join, a window of `WINDOW` ids on either side is encoded anew; it grows until
+its first id equals the left side's and its last id the right side's (or the side
+is used up). A sequence of ids is the merge-rank encoding of its bytes exactly if
+each two neighbours are, so from there on both sides stand as they are and the
+join is exact. Added tokens inside such a text stand for themselves, as in the
+library; what lies between them is encoded piece by piece.
 
 Nulls and empty texts have no ids and decode to the empty text; repeated rows are
 encoded one by one; an empty table gives an empty result; further columns are
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +38,8 @@ UNSPLIT = 1024
 LEAF = 256
 #: Ids on either side of a join at first.
 WINDOW = 4
+#: Threads of a worker for one batch, and parts of a batch from which they are used.
+THREADS, MANY = 4, 64
 
 
 class Tree:
@@ -44,11 +50,22 @@ class Tree:
         self.bare = Tokenizer(bpe.library.model)  # no normaliser, no pre-tokeniser: the merges alone
         self.symbols = byte_symbols()
         self.long = re.compile(r"\S{%d}|\s{%d}" % (UNSPLIT // 4, UNSPLIT // 4))
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(bpe.added, key=len, reverse=True))) + ")") if bpe.added else None
+        if not bpe.added_as_written:
+            raise ValueError("added tokens that take white space or words around them aren't supported")
+        self.id_of = {t: bpe.library.token_to_id(t) for t in bpe.added}
 
-    def merged(self, parts: list[str]) -> list[list[int]]:
-        """Each part's ids by the merges, all parts in one batch."""
+    def _batch(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.bare.encode_batch(parts, add_special_tokens=False)]
 
+    def merged(self, parts: list[str]) -> list[list[int]]:
+        """Each part's ids by the merges; the library lets go of the interpreter, so threads run at the same time."""
+        if len(parts) < MANY:
+            return self._batch(parts)
+        with ThreadPoolExecutor(THREADS) as pool:
+            shares = pool.map(self._batch, (parts[k * len(parts) // THREADS : (k + 1) * len(parts) // THREADS] for k in range(THREADS)))
+            return [ids for share in shares for ids in share]
+
     def string(self, ids: list[int]) -> str:
         return "".join(self.symbols[b] for i in ids for b in self.bpe.bytes_of[i])
 
@@ -70,19 +87,26 @@ class Tree:
 
     def unsplit(self, symbols: str) -> list[int]:
         """The ids of one pre-token, given as byte symbols."""
-        level = self.merged([symbols[i : i + LEAF] for i in range(0, len(symbols), LEAF)])
+        n = 1
+        while n * LEAF < len(symbols):
+            n *= 2
+        cuts = [len(symbols) * k // n for k in range(n + 1)]
+        level = self.merged([symbols[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
         while len(level) > 1:
-            pairs = list(zip(level[::2], level[1::2], strict=False))
-            level = self.joined(pairs) + level[2 * len(pairs) :]
+            level = self.joined(list(zip(level[::2], level[1::2], strict=True)))
         return level[0]
 
     def encode(self, text: str) -> bytes:
         """The library's ids as little-endian unsigned 32-bit integers."""
-        if not self.long.search(text) or any(t in text for t in self.bpe.added):
+        if not self.long.search(text):
             return self.bpe.encode(text)
         out = []
-        for symbols, _ in self.bpe.library.pre_tokenizer.pre_tokenize_str(text):
-            out += self.unsplit(symbols) if len(symbols) > UNSPLIT else self.merged([symbols])[0]
+        for k, piece in enumerate(self.added.split(text) if self.added else [text]):
+            if k % 2:
+                out.append(self.id_of[piece])
+                continue
+            for symbols, _ in self.bpe.library.pre_tokenizer.pre_tokenize_str(piece) if piece else ():
+                out += self.unsplit(symbols) if len(symbols) > UNSPLIT else self.merged([symbols])[0]
         return packed(out)
 
 
