@@ -37,12 +37,15 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a local folder is set.
+    Only where that setting is absent and the master is local, as in tests, a local folder is set; on a cluster its
+    absence is an error, since executors don't share local folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
             found = f"file://{tempfile.gettempdir()}/checkpoints"
             spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():

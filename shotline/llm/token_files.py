@@ -7,7 +7,7 @@ writer puts each segment into a file of its own through the commit protocol, on
 any file system, and writes the seek table's closing magic number as its line
 end: a lost task leaves nothing behind and is run again.
 
-Null doc_ids sort first and come back null; rows with equal doc_id follow each
+Null doc_ids (and -2^63, which stands for them in the index) sort first and come back null; rows with equal doc_id follow each
 other ordered by a hash of the text, then the text; null and empty texts hold the
 end id alone; an empty table gives no segment and an empty result; further
 columns are ignored.
@@ -63,7 +63,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, segment
 
     segments = dealt.select("doc_id", "text").mapInArrow(encode, "payload binary")
     magic = seekable.END.decode("latin-1")
-    segments.select(F.col("payload").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", magic).option("maxRecordsPerFile", 1).text(folder)
+    segments.select(F.col("payload").cast("string").alias("value")).write.option("compression", "none").option("encoding", "ISO-8859-1").option("lineSep", magic).option("maxRecordsPerFile", 1).text(folder)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+
 import corpus_pipeline
 import pytest
 from shotline.llm import pii
@@ -63,3 +65,45 @@ def test_run_gives_the_last_stage(spark, stages):
     key = lambda r: (r.doc_id, r.start)
     one = {key(r): 0 for r in corpus_pipeline.run(spark, SF).collect()}
     assert {k[0] for k in one} == {r.doc_id for r in stages[4][2].collect()}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, y int, class_id long, key string"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def run_on(spark, folder, rows, labels):
+    d = spark.createDataFrame([(i, t, "xx", "s", None if t is None else len(t), 0.5, 1, 2, "k") for i, t in rows], SCHEMA)
+    d.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def prose(k, n=60):
+    return " ".join(f"{w} of the {w}{k}" for w in "river stone light house field".split())[:400] + f" and then number {k} " + " ".join(f"w{k}x{j} the" for j in range(n))
+
+
+def test_edges_through_run(spark, tmp_path):
+    """Nulls, empty, repeated and very long texts, rows that share a doc_id, ties, and columns of any name."""
+    long = prose(9) + " " + " ".join(f"word{j} the" for j in range(60_000))
+    rows = [(1, prose(1)), (2, prose(2)), (2, prose(2)), (3, prose(1)), (4, None), (5, ""), (6, " \n"), (None, prose(7)), (8, prose(8)), (8, prose(88)), (9, long), (10, "z # $ % " * 30)]
+    got = run_on(spark, tmp_path, rows, [(i, int(i != 10), 0) for i in (1, 2, 8, 9, 10)] + [(1, None, None), (None, 1, 1)])
+    tokens = {}
+    for r in got:
+        tokens.setdefault(r.doc_id, []).append(r)
+    assert set(tokens) == {1, 2, None, 8, 9}
+    assert sum(r.start == 0 for r in tokens[8]) == 2 and all(sum(r.start == 0 for r in tokens[i]) == 1 for i in (1, 2, None, 9))
+    assert sum(r.length for r in tokens[9]) == tokens[9][0].doc_tokens > 100_000
+
+
+def test_empty_tables_through_run(spark, tmp_path):
+    assert run_on(spark, tmp_path / "a", [], []) == []
+    assert {r.doc_id for r in run_on(spark, tmp_path / "b", [(1, prose(1)), (2, prose(2))], [])} == {1, 2}
+
+
+def test_stage_folders_go(spark, tmp_path):
+    from shotline.llm import common
+
+    before = set(glob.glob(common.shared_dir(spark).removeprefix("file:") + "/pipeline-*"))
+    run_on(spark, tmp_path, [(1, prose(1))], [(1, 1, 0)])
+    new = set(glob.glob(common.shared_dir(spark).removeprefix("file:") + "/pipeline-*")) - before
+    assert [p.rsplit("/", 1)[1][:10] for p in new] == ["pipeline-3"]
