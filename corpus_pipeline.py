@@ -4,6 +4,15 @@ Five stages, each an operator of ``shotline.llm``: (1) the quality classifier
 removes documents it rejects, (2) quality rules remove those that fail, (3) one
 document of each near-duplicate class stays, (4) personal data is replaced,
 (5) what is left is packed. All but the last return the columns of documents.
+
+Null texts count as empty: the vote scores both with the share of good labels, the
+rules drop them (fewer than 20 words). Rows that repeat a doc_id are judged one by
+one; of equal texts one row stays, of different texts under one doc_id each. Rows
+without doc_id aren't learned from and are nobody's duplicate; their pieces have a
+null doc_id. Of equally near labelled texts those with the least doc_id vote, of a
+class the least doc_id stays. Very long texts are read, redacted and packed whole.
+Empty tables give an empty result; without labels every document passes the vote.
+Further columns of documents are kept, whatever their names, up to the packing.
 """
 
 from __future__ import annotations
@@ -53,14 +62,20 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder, since the next reads it more than once."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder, since the next reads it more than once.
+
+    A result goes when the one after it is written. The last one's input stays, as its rows are read when the caller asks.
+    """
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             folder = common.fresh_dir(spark, f"pipeline-{k}")
             out.write.parquet(folder)
             out = spark.read.parquet(folder)
+            if before:
+                common.remove_dir(spark, before)
+            before = folder
         docs = out
     return docs
 
