@@ -10,6 +10,7 @@ surprise under a character trigram model, whose counts come from all documents.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,13 @@ IMITATED = {
 SEPARATORS = " .-_*'’~·"
 #: Channel costs in nats: an imitated letter, a dropped separator, a word's end there, a dropped repeat (of a pair, of a longer run).
 IMITATE, DROP, END, PAIR, RUN = 0.7, 0.3, 2.0, 1.5, 0.2
-#: Least hypotheses kept at each position.
-BEAM = 64
 #: Symbols of the model: 0 for anything else, a to z, and the Latin-1 letters from U+00DF.
 SYMBOLS = 60
 _OUTER = ".,!?;:()[]{}\"'…|#%&*=<>/\\~^-_`«»“”‘’"
 _TRAILING = re.compile(r"[$@+]{2,}$")
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
+_REPEAT = re.compile(r"(.)\1+", re.DOTALL)
 _PLAIN_OUTER = "".join(c for c in _OUTER if c not in IMITATED)
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
@@ -85,6 +85,11 @@ def trimmed(token: str) -> str:
     return _TRAILING.sub("", token.strip(_OUTER)).strip(_OUTER)
 
 
+def collapsed(word: str) -> str:
+    """Each run of one character as one: the same for a word and for all its readings that only drop repeats."""
+    return _REPEAT.sub(r"\1", word) if _DOUBLE.search(word) else word
+
+
 def suspicious(core: str) -> bool:
     """Letters mixed with something else, or a character three times in a row."""
     if core.isalpha():
@@ -92,6 +97,12 @@ def suspicious(core: str) -> bool:
     return any(c.isalpha() for c in core)
 
 
+def plain_letters(token: str) -> str | None:
+    """A token's core if that is letters alone and its only reading, else None."""
+    core = token.strip(_OUTER)
+    return core if core.isalpha() and core == token.strip(_PLAIN_OUTER) else None
+
+
 def readings(token: str) -> list[str]:
     """What may be disguised in a token: its core, and the same with the symbols at its edges that imitate letters.
 
@@ -107,9 +118,8 @@ def spaced(text: str) -> list[str]:
     return [" ".join(run.split()) for run in _SPACED.findall(text)]
 
 
-def restore(core: str, surprise: np.ndarray) -> str:
-    """The likeliest plain text of a lower-cased token; words of several are separated by spaces."""
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+def edges_of(core: str) -> Iterator[list[tuple[str, float]]]:
+    """At each character of a token: what it may stand for (a letter, a space, nothing), and the channel's cost."""
     for at, c in enumerate(core):
         before = core[at - 1] if at else ""
         run = c == before and (core[at + 1 : at + 2] == c or core[at - 2 : at - 1] == c)
@@ -124,6 +134,16 @@ def restore(core: str, surprise: np.ndarray) -> str:
             edges.append((" ", END))
         if c == before:
             edges.append(("", RUN if run else PAIR))
+        yield edges
+
+
+def restore(core: str, surprise: np.ndarray) -> str:
+    """The likeliest plain text of a lower-cased token; words of several are separated by spaces.
+
+    A state is the last two symbols kept: a few at each position, so none is pruned and the decoding is exact.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for edges in edges_of(core):
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, path) in states.items():
             for x, price in edges:
@@ -134,8 +154,6 @@ def restore(core: str, surprise: np.ndarray) -> str:
                     to, total, way = (a, b), cost + price, path
                 if to not in new or total < new[to][0]:
                     new[to] = (total, way)
-        if len(new) > BEAM:
-            new = dict(sorted(new.items(), key=lambda e: e[1][0])[:BEAM])
         states = new
     _, path = min((cost + float(surprise[a, b, 0]), k) for k, ((a, b), (cost, _)) in enumerate(states.items()))
     way, out = list(states.values())[path][1], []

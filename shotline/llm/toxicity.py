@@ -7,10 +7,12 @@ logistic regression fitted on how many distinct words of a text hold it (at most
 `MOST` counted). A text's score is the regression's probability.
 
 Null and empty texts score the regression's constant; very long tokens are
-decoded whole with a beam of states; repeated rows are scored one by one; null
+decoded whole; repeated rows are scored one by one; a text that is labelled
+toxic once is learned as toxic, however often it is labelled otherwise; null
 doc_ids are held out and not learned from; without labelled rows of both kinds
 every text scores `PRIOR`; an empty table gives an empty result; further columns
-are ignored.
+are ignored. A word cut by a single space isn't restored ("id iot"): its parts
+are tokens of their own.
 """
 
 from __future__ import annotations
@@ -69,6 +71,18 @@ def evidence(word: str) -> list[str]:
     return [word] + [f"{word[:n]}-" for n in STEMS if len(word) > n]
 
 
+def collapsed_evidence(known: dict[str, int]) -> tuple[set[str], tuple[int, ...]]:
+    """Known evidence with repeats dropped, words and beginnings apart, and the lengths of those beginnings."""
+    out = {deobfuscation.collapsed(e.removesuffix("-")) + "-" * e.endswith("-") for e in known}
+    return out, tuple(sorted({len(e) - 1 for e in out if e.endswith("-")}))
+
+
+def holds_nothing(letters: str, short: set[str], lengths: tuple[int, ...]) -> bool:
+    """Whether a word of letters can't hold known evidence, whatever repeats are dropped: what it holds begins like it without repeats."""
+    one = deobfuscation.collapsed(letters)
+    return one not in short and not any(one[:n] + "-" in short for n in lengths)
+
+
 def _counts(sample: DataFrame, surprise: Broadcast) -> DataFrame:
     """(evidence, toxic, other): distinct sampled texts that hold it; (null, ...) counts the texts."""
 
@@ -122,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, surprise: Broadcast,
     """(evidence -> weight, constant); `train` chooses the labels' rows to learn from."""
     spark = docs.sparkSession
     chosen = F.broadcast(sampled(labels, label, train, rows))  # bounded by `rows`
-    sample = common.texts(docs).join(chosen, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"])
-    sample = common.checkpointed(sample.select("text", F.col("y").cast("int").alias("y")))
+    sample = common.texts(docs).join(chosen, "doc_id").groupBy("text").agg(F.max(F.col("y").cast("int")).alias("y"))
+    sample = common.checkpointed(sample)
     counts = common.checkpointed(_counts(sample, surprise))
     total = counts.where("evidence is null").first()
     none = {}, math.log(PRIOR / (1 - PRIOR))
@@ -155,11 +169,15 @@ def score_documents(docs: DataFrame, weights: dict[str, float], constant: float,
 
     def run(batches):
         (weight, known), lm = table.value, surprise.value
+        short, lengths = collapsed_evidence(known)
 
         def found_in(parts: tuple[str, ...]) -> dict[str, list[int]]:
             return {w: at for w in parts if (at := [known[e] for e in evidence(w) if e in known])}
 
         def looked_up(token: str) -> tuple[dict[str, list[int]], bool] | None:
+            letters = deobfuscation.plain_letters(token)
+            if letters and holds_nothing(letters, short, lengths):
+                return ({}, True) if deobfuscation.suspicious(letters) else None
             core = deobfuscation.trimmed(token)
             odd = bool(core) and deobfuscation.suspicious(core)
             found = found_in(plain(token, lm))
