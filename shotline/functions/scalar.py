@@ -2,45 +2,101 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿăđĩũơư"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyadiuou"
+
+def _fold_table() -> tuple[str, str]:
+    """Characters of the basic plane that decompose into one character and marks, and that character."""
+    marked, plain = [], []
+    for code in range(0xC0, 0x10000):
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and all(unicodedata.combining(x) for x in parts[1:]):
+            marked.append(c)
+            plain.append(parts[0])
+    return "".join(marked), "".join(plain)
+
+
+def _width_table() -> tuple[str, str]:
+    """Characters whose compatibility case folding is one other character, and that one."""
+    pairs = [(chr(k), unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", chr(k)).casefold())) for k in range(0xA0, 0x10000) if not 0xD800 <= k < 0xE000]
+    one = [(a, b) for a, b in pairs if len(b) == 1 and b != a]
+    return "".join(a for a, _ in one), "".join(b for _, b in one)
+
+
+#: Accented letters and their bases; both tables follow from Unicode's data.
+ACCENTED, PLAIN = _fold_table()
+VARIANT, COMMON = _width_table()
+#: A letter that stands for another without being composed of it.
+CROSSED = (("đ", "d"), ("Đ", "D"))
+#: Compatibility characters of several letters that occur in ordinary text.
+LIGATURES = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "ŉ": "ʼn"}
+#: Letters that an analyser writes in ASCII.
+ASCII = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "ı": "i", "þ": "th", "ð": "d"}
+#: White space as text processing sees it: separators and the information separators.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Function words a text analyser drops.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
-CAPTION_META = r"(?i)\b(as an ai|i cannot|i can't|the image shows|this image|here is the caption)\b"
+# Lead-ins and articles that an answer is compared without, and words that name no identity.
+ANSWER_LEADS = (r"^(?:x|đáp án|câu trả lời)\s+(?:là)\s+", r"^(?:the answer|answer|x)\s+(?:is)\s+")
+SHORT_LEADS = ("cau tra loi la", "dap an la", "the answer is", "answer is", "x la", "x is")
+ARTICLES = ("con", "cai", "mot", "a", "an", "the")
+GENERIC_LABELS = (
+    "a", "an", "the", "target", "food", "ingredient", "ingredients", "object", "objects", "item", "items", "thing", "things", "piece", "pieces", "slice", "slices",
+    "wedge", "wedges", "fresh", "raw", "red", "white", "nguyen", "lieu", "mon", "an", "vat", "the", "do", "con", "cai",
+)
 
 
 def squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """White space runs as one space, none outside."""
+    return F.trim(F.regexp_replace(c, SPACE, " "))
+
+
+def unmarked(c: Column) -> Column:
+    """Accents removed, crossed letters replaced."""
+    for a, b in CROSSED:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
 def folded(c: Column) -> Column:
     """Lower-cased, accents removed, white space squeezed."""
-    return squeezed(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"\p{M}", ""))
+    return squeezed(unmarked(F.lower(c)))
 
 
 def folded_words(c: Column) -> Column:
     """The same with all but a-z and digits as spaces."""
-    return squeezed(F.regexp_replace(folded(c), r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(unmarked(F.lower(c)), r"[^a-z0-9]+", " "))
+
+
+def case_folded(c: Column) -> Column:
+    """Compatibility forms and case folded; of characters that fold to several, those of LIGATURES."""
+    for a, b in LIGATURES.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.translate(F.lower(c), VARIANT, COMMON)
 
 
 def keyword_variants(c: Column) -> Column:
-    """A keyword case-folded, and unaccented if that differs."""
-    return F.array_distinct(F.array(squeezed(F.lower(c)), folded(c)))
+    """A keyword case-folded, and unaccented if that differs; empty ones have none."""
+    one = squeezed(case_folded(c))
+    return F.when(one == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(one, unmarked(one))))
 
 
 def answer(c: Column) -> Column:
-    """An answer for comparison: punctuation to spaces, known lead-ins dropped, accents kept."""
-    words = squeezed(F.regexp_replace(F.lower(c), r"[\p{P}\p{S}]", " "))
-    return squeezed(F.regexp_replace(words, r"^(the answer is|answer|it is)\s+", ""))
+    """An answer for comparison: compatibility and case folded, punctuation and symbols to spaces, known lead-ins dropped, accents kept."""
+    out = squeezed(F.regexp_replace(case_folded(c), r"[\p{P}\p{S}]", " "))
+    for lead in ANSWER_LEADS:
+        out = F.regexp_replace(out, lead, "")
+    return F.trim(out)
 
 
 def short_answer(c: Column) -> Column:
-    """The same without leading articles."""
-    return squeezed(F.regexp_replace(answer(c), r"^(a|an|the)\s+", ""))
+    """Plain words of an answer without one lead-in and without leading articles."""
+    led = F.regexp_replace(folded_words(c), rf"^(?:{'|'.join(SHORT_LEADS)})(?: |$)", "")
+    return F.trim(F.regexp_replace(led, rf"^(?:(?:{'|'.join(ARTICLES)})(?: |$))+", ""))
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:
@@ -53,8 +109,8 @@ def basename(c: Column) -> Column:
 
 
 def video_name(c: Column) -> Column:
-    """Basename without its last extension, lower-cased."""
-    return F.lower(F.regexp_replace(basename(c), r"\.[^.]+$", ""))
+    """Basename, whichever way slashes lean, without its last extension, lower-cased."""
+    return F.lower(F.regexp_replace(basename(F.replace(F.trim(c), F.lit("\\"), F.lit("/"))), r"\.[^.]*$", ""))
 
 
 def tolerant_double(c: Column) -> Column:
@@ -73,7 +129,10 @@ def clamped(c: Column, low: float, high: float) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """Lower-case letters, digits, hyphens and underscores; "unnamed" if none is left."""
+    out = F.regexp_replace(F.lower(c), r"[^a-z0-9_-]+", "-")
+    out = F.regexp_replace(F.regexp_replace(out, r"^[-_]+|[-_]+$", ""), r"-{2,}", "-")
+    return F.when(out == "", F.lit("unnamed")).otherwise(out)
 
 
 def json_body(c: Column) -> Column:
@@ -82,15 +141,19 @@ def json_body(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Runs of letters, digits and underscores of the folded text, stop words dropped."""
-    found = F.regexp_extract_all(F.translate(F.lower(c), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    """Runs of letters, digits and underscores of the folded text, in ASCII where a letter has such a form, stop words dropped."""
+    plain = unmarked(F.lower(c))
+    for a, b in ASCII.items():
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    found = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     return F.filter(found, lambda t: ~t.isin(*STOP))
 
 
 def document_quality(text: Column, enough: int) -> Column:
-    """Share of letters and digits, less for texts with fewer than `enough`."""
-    alnum = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
-    return F.when(F.length(text) > 0, alnum / F.length(text) * F.least(F.lit(1.0), alnum / F.lit(float(enough)))).otherwise(F.lit(0.0))
+    """Share of letters and digits among all but white space, less for texts with fewer than `enough`."""
+    alnum = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
+    seen = F.length(F.regexp_replace(text, SPACE, ""))
+    return F.when(seen > 0, alnum / seen * F.least(F.lit(1.0), alnum / F.lit(float(enough)))).otherwise(F.lit(0.0))
 
 
 def collapse_lines(text: Column) -> Column:
@@ -100,22 +163,31 @@ def collapse_lines(text: Column) -> Column:
 
 
 def label_tokens(c: Column) -> Column:
-    """A label's words, stop words dropped, plurals cut, sorted."""
-    words = F.filter(F.split(folded_words(c), " "), lambda w: (w != "") & ~w.isin(*STOP))
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, "s$", "")).otherwise(w))))
-
-
-def answer_type(question: Column) -> Column:
-    """By the first rule that fits."""
-    q = folded_words(question)
-    return (
-        F.when(q.rlike(r"\b(how many|number of|count)\b"), "count")
-        .when(q.rlike(r"\b(what color|what colour|which color)\b"), "color")
-        .when(q.rlike(r"\b(who|whose)\b"), "person")
-        .when(q.rlike(r"\b(where|which place)\b"), "place")
-        .when(q.rlike(r"^(is|are|was|were|do|does|did|can)\b"), "yes_no")
-        .otherwise("text")
-    )
+    """The identity a label names: words of a short answer but generic ones, plurals cut (not "ss"), sorted, once each."""
+    words = F.filter(F.split(short_answer(c), " "), lambda w: (w != "") & ~w.isin(*GENERIC_LABELS))
+    single = lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w)
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: single(w))))
+
+
+def labels_agree(one: Column, other: Column) -> Column:
+    """Whether two sets of label tokens name the same identity; none if either is empty."""
+    return (F.size(one) > 0) & (one == other)
+
+
+def wrapped(c: Column) -> Column:
+    """A value as an array; null and the empty string as an empty one."""
+    return F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).otherwise(F.array(c))
+
+
+def string_tuple(values: Column, limit: int) -> Column:
+    """The first `limit` values, trimmed, empty ones dropped."""
+    return F.filter(F.transform(F.slice(values, 1, limit), lambda v: F.trim(v)), lambda v: v != "")
+
+
+def unique_strings(values: Column) -> Column:
+    """A short list's values, the first of those with the same plain words; ones without words go."""
+    keys = F.transform(values, lambda v: folded_words(v))
+    return F.filter(values, lambda v, i: (folded_words(v) != "") & (F.array_position(keys, folded_words(v)) == i + 1))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotline.operators.ranking import ranked
@@ -12,10 +12,17 @@ from shotline.operators.temporal import band, window_search
 
 
 def direct_pairs(first: DataFrame, second: DataFrame, window: float) -> DataFrame:
-    """Hits (frame_id, video_id, ts, score) of two events in one video with 0 < dt <= window."""
-    seeds = first.select(F.col("frame_id").alias("f_i"), "video_id", F.col("ts").alias("at"), F.col("score").alias("s_i"))
+    """Hits (frame_id, video_id, ts, score, and maybe shot_id) of two events in one video with 0 < dt <= window."""
+    with_shots = "shot_id" in first.columns and "shot_id" in second.columns
+    seeds = first.select(F.col("frame_id").alias("f_i"), "video_id", F.col("ts").alias("at"), F.col("score").alias("s_i"), *([F.col("shot_id").alias("shot_i")] if with_shots else []))
     j = band(seeds, second, window).where(F.col("ts") > F.col("at"))
-    return j.select("video_id", "f_i", F.col("frame_id").alias("f_j"), F.col("at").alias("ts_i"), F.col("ts").alias("ts_j"), "s_i", F.col("score").alias("s_j"), ((F.col("s_i") + F.col("score")) / 2).alias("pair_score"))
+    shots = ["shot_i", F.col("shot_id").alias("shot_j")] if with_shots else []
+    return j.select("video_id", "f_i", F.col("frame_id").alias("f_j"), F.col("at").alias("ts_i"), F.col("ts").alias("ts_j"), "s_i", F.col("score").alias("s_j"), ((F.col("s_i") + F.col("score")) / 2).alias("pair_score"), *shots)
+
+
+def shot_number(shot: Column) -> Column:
+    """The last integer of a shot's id, null without one."""
+    return F.try_element_at(F.regexp_extract_all(shot.cast("string"), F.lit(r"(\d+)"), F.lit(1)), F.lit(-1)).cast("long")
 
 
 def bidirectional_pairs(first: DataFrame, second: DataFrame, all_first: DataFrame, all_second: DataFrame, window: float, k: int, per_seed: int = 30) -> DataFrame:
@@ -33,70 +40,85 @@ def bidirectional_pairs(first: DataFrame, second: DataFrame, all_first: DataFram
     return once.orderBy(F.desc("pair_score"), "f_i", "f_j").limit(k)
 
 
-def chain_join(pairs: list[DataFrame], window: float, shot_distance: int = 3, shot_frames: int = 25) -> DataFrame:
+def chain_join(pairs: list[DataFrame], window: float, shot_distance: int = 3) -> DataFrame:
     """Each pair of the first step followed by the single best next pair of the same video, near in shots and time; unmatched chains go.
 
-    `pairs[k]` has (video_id, f_i, f_j, ts_i, ts_j, s_i, s_j, pair_score) for
-    events k and k+1; a pair continues a chain if its first frame's shot is near
-    the last one's and its second frame lies within the window after it.
+    `pairs[k]` has (video_id, f_i, f_j, shot_i, shot_j, ts_i, ts_j, s_i, s_j,
+    pair_score) for events k and k+1. A pair continues a chain if its first frame's
+    shot number is at most `shot_distance` from that of the last one's (equal ids
+    without numbers; no condition where one has no shot), and its second frame lies
+    within the window behind it (no condition where one has no time). Equal pairs go
+    by their frames. Timed pairs meet by time buckets.
     """
     w0 = pairs[0]
-    chains = w0.select("video_id", F.col("f_i").alias("e0"), F.col("f_j").alias("e1"), F.col("s_i").alias("s0"), F.col("s_j").alias("s1"), F.col("f_j").alias("last"), F.col("ts_j").alias("last_ts"))
+    chains = w0.select("video_id", F.col("f_i").alias("e0"), F.col("f_j").alias("e1"), F.col("s_i").alias("s0"), F.col("s_j").alias("s1"), F.col("shot_j").alias("last_shot"), F.col("ts_j").alias("last_ts"))
+    width = max(window, 1e-6)
     for k, nxt in enumerate(pairs[1:], start=2):
-        n = nxt.select("video_id", F.col("f_i").alias("n_i"), F.col("f_j").alias(f"e{k}"), F.col("ts_j").alias("n_ts"), F.col("s_j").alias(f"s{k}"), "pair_score")
-        j = chains.join(n, "video_id").where(F.abs(F.floor(F.col("last") / shot_frames) - F.floor(F.col("n_i") / shot_frames)) <= shot_distance)
-        j = j.where((F.col("n_ts") > F.col("last_ts")) & (F.col("n_ts") <= F.col("last_ts") + window))
+        n = nxt.select("video_id", F.col("f_i").alias("n_i"), F.col("shot_i").alias("n_shot"), F.col("f_j").alias(f"e{k}"), F.col("shot_j").alias("next_shot"), F.col("ts_j").alias("n_ts"), F.col("s_j").alias(f"s{k}"), "pair_score")
+        at = F.floor(F.col("last_ts") / width)
+        timed = chains.where("last_ts is not null").withColumn("bucket", F.explode(F.sequence(at, at + 1)))
+        timed = timed.join(n.where("n_ts is not null").withColumn("bucket", F.floor(F.col("n_ts") / width)), ["video_id", "bucket"]).drop("bucket")
+        timed = timed.where((F.col("n_ts") > F.col("last_ts")) & (F.col("n_ts") <= F.col("last_ts") + window))
+        free = chains.where("last_ts is null").join(n, "video_id").unionByName(chains.where("last_ts is not null").join(n.where("n_ts is null"), "video_id"))
+        a, b = shot_number(F.col("last_shot")), shot_number(F.col("n_shot"))
+        apart = F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) > shot_distance).otherwise(F.coalesce(F.col("last_shot") != F.col("n_shot"), F.lit(False)))
+        j = timed.unionByName(free.select(*timed.columns)).where(~apart)
         events = [f"e{x}" for x in range(k)]
         best = ranked(j, ["video_id", *events], [F.desc("pair_score"), "n_i", f"e{k}"], "n").where("n = 1")
-        chains = best.select("video_id", *events, f"e{k}", *[f"s{x}" for x in range(k + 1)], F.col(f"e{k}").alias("last"), F.col("n_ts").alias("last_ts"))
-    n_events = len(pairs) + 1
-    every = Window.partitionBy()
-    shares = [F.col(f"s{x}") / F.max(f"s{x}").over(every) for x in range(n_events)]
-    scored = chains.withColumn("score", reduce(lambda a, b: a + b, shares) / n_events)
-    return scored.select("video_id", *[f"e{x}" for x in range(n_events)], "score").dropDuplicates([f"e{x}" for x in range(n_events)])
+        chains = best.select("video_id", *events, f"e{k}", *[f"s{x}" for x in range(k + 1)], F.col("next_shot").alias("last_shot"), F.col("n_ts").alias("last_ts"))
+    return chain_scores(chains, len(pairs) + 1)
 
 
-def beam(events: list[DataFrame], width: int = 20, per_event: int = 24, gap: float = 60.0, span: float = 180.0) -> DataFrame:
-    """Chains of one hit (frame_id, video_id, ts, quality) per required event: strictly later, within gap and span, no frame twice.
+def chain_scores(chains: DataFrame, n_events: int) -> DataFrame:
+    """(video_id, e0 .., score): the mean over events of each score's share of the event's maximum (1 if that is nothing), each chain once.
 
-    Unrolled: one bounded join and one group limit for each event.
+    The maxima are one row, combined on the map side.
+    """
+    top = chains.agg(*[F.max(f"s{x}").alias(f"m{x}") for x in range(n_events)])
+    most = lambda x: F.when(F.col(f"m{x}") > 1e-12, F.col(f"m{x}")).otherwise(F.lit(1.0))
+    shares = [F.col(f"s{x}") / most(x) for x in range(n_events)]
+    events = [f"e{x}" for x in range(n_events)]
+    scored = chains.crossJoin(F.broadcast(top)).withColumn("score", reduce(lambda a, b: a + b, shares) / n_events)
+    return scored.groupBy("video_id", *events).agg(F.max("score").alias("score"))
+
+
+def evidence_frames(candidates: DataFrame, anchors: DataFrame, frames: DataFrame, most: int = 24, padding: float = 2.0) -> DataFrame:
+    """(candidate_id, place, frame_id): frames that show a candidate, `most` at most.
+
+    `candidates` has (candidate_id, video_id, start_sec, end_sec), `anchors`
+    (candidate_id, priority, frame_id, shot_id, ts, kind: "anchor", "answer" or
+    "global"), `frames` (video_id, shot_id, frame_id, ts). First come the anchors by
+    priority, then the frames right before and behind answer-bearing ones in their
+    shot and the padded window, then the global hit, then always the frame of the
+    window that is farthest from all chosen (the earlier of two). Without any
+    priority the frame nearest the middle begins. A window holds few frames: it is
+    folded in one row.
     """
-    best = [ranked(e, ["video_id"], [F.desc("quality"), "frame_id"], "n").where(F.col("n") <= per_event).drop("n") for e in events]
-    b = best[0].select("video_id", F.col("ts").alias("t0"), F.col("ts").alias("t1"), F.col("quality").alias("q"), F.array("frame_id").alias("chain"))
-    for k, e in enumerate(best[1:], start=2):
-        j = b.join(e, "video_id").where((F.col("ts") > F.col("t1")) & (F.col("ts") <= F.col("t1") + gap) & (F.col("ts") <= F.col("t0") + span) & ~F.array_contains("chain", F.col("frame_id")))
-        j = j.select("video_id", "t0", F.col("ts").alias("t1"), (F.col("q") + F.col("quality")).alias("q"), F.concat("chain", F.array("frame_id")).alias("chain"))
-        b = ranked(j, ["video_id"], [F.desc(F.round(F.col("q") / k, 9)), F.expr("t1 - t0"), "chain"], "n").where(F.col("n") <= width).drop("n")
-    return b.select("video_id", F.array_join("chain", ",").alias("chain"), (F.col("q") / len(events)).alias("quality"), F.col("t0").alias("start_sec"), F.col("t1").alias("end_sec"))
-
-
-def moment_score(quality="quality", context="context", consensus="consensus", global_="global_score", compactness="compactness"):
-    """.42 quality + .23 context + .18 consensus + .07 global + .10 compactness."""
-    return 0.42 * F.col(quality) + 0.23 * F.col(context) + 0.18 * F.col(consensus) + 0.07 * F.col(global_) + 0.10 * F.col(compactness)
-
-
-def temporal_nms(moments: DataFrame, threshold: float = 0.5, per_video: int = 2) -> DataFrame:
-    """Greedy in score order per video: drop a moment that overlaps a kept one by the threshold or more; at most `per_video`."""
-    m = moments.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "moment_id", "start_sec", "end_sec"))).alias("ms"))
-    kept = F.expr(
-        f"""aggregate(ms, slice(ms, 1, 0), (a, x) -> if(size(a) < {per_video} and not exists(a, y ->
-            greatest(0d, least(x.end_sec, y.end_sec) - greatest(x.start_sec, y.start_sec)) >= {threshold} * (greatest(x.end_sec, y.end_sec) - least(x.start_sec, y.start_sec))
-            and greatest(x.end_sec, y.end_sec) > least(x.start_sec, y.start_sec)), concat(a, array(x)), a))"""
-    )
-    return m.select("video_id", F.posexplode(kept).alias("place", "m")).select("video_id", "place", F.col("m.moment_id").alias("moment_id"))
-
-
-def farthest_points(points: DataFrame, k: int) -> DataFrame:
-    """Per group: the first point, then always the one farthest from those chosen (ties to the earlier), k in all."""
-    g = points.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_id"))).alias("ps"))
-    picked = F.expr(
-        f"""aggregate(sequence(2, {k}), slice(ps, 1, 1), (a, i) -> if(size(a) >= size(ps), a, concat(a, array(
-            array_sort(filter(ps, p -> not array_contains(a, p)), (x, y) -> case
-              when array_min(transform(a, c -> abs(c.ts - x.ts))) > array_min(transform(a, c -> abs(c.ts - y.ts))) then -1
-              when array_min(transform(a, c -> abs(c.ts - x.ts))) < array_min(transform(a, c -> abs(c.ts - y.ts))) then 1
-              when x.ts < y.ts or (x.ts = y.ts and x.frame_id < y.frame_id) then -1 else 1 end)[0]))))"""
-    )
-    return g.select("group_id", F.posexplode(picked).alias("place", "p")).select("group_id", "place", F.col("p.frame_id").alias("frame_id"))
+    inside = frames.join(candidates, "video_id").where(F.col("ts").between(F.col("start_sec") - padding, F.col("end_sec") + padding))
+    window = inside.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_id"))).alias("window"), F.first((F.col("start_sec") + F.col("end_sec")) / 2).alias("middle"))
+    w = Window.partitionBy("video_id").orderBy("ts", "frame_id")
+    around = frames.select("video_id", "frame_id", *[f(F.struct("frame_id", "shot_id", "ts")).over(w).alias(n) for f, n in ((F.lag, "b"), (F.lead, "a"))])
+    answer = anchors.where("kind = 'answer'").join(candidates, "candidate_id").join(around, ["video_id", "frame_id"])
+    sides = answer.select("candidate_id", "priority", "shot_id", "start_sec", "end_sec", F.posexplode(F.array("b", "a")).alias("side", "n")).where("n is not null")
+    sides = sides.where((F.col("n.shot_id") == F.col("shot_id")) & F.col("n.ts").between(F.col("start_sec") - padding, F.col("end_sec") + padding))
+    first = anchors.select("candidate_id", F.when(F.col("kind") == "global", 2).otherwise(0).alias("o"), "priority", F.lit(0).alias("side"), "ts", "frame_id")
+    first = first.unionByName(sides.select("candidate_id", F.lit(1).alias("o"), "priority", "side", F.col("n.ts").alias("ts"), F.col("n.frame_id").alias("frame_id")))
+    first = ranked(first, ["candidate_id", "frame_id"], ["o", "priority", "side"], "n").where("n = 1")
+    head = first.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("o", "priority", "side", "ts", "frame_id"))).alias("head"))
+    row = lambda h: F.struct(h["ts"].alias("ts"), h["frame_id"].alias("frame_id"))
+    j = candidates.select("candidate_id").join(window, "candidate_id", "left").join(head, "candidate_id", "left")
+    none = F.slice("window", 1, 0)
+    j = j.withColumn("chosen", F.coalesce(F.transform("head", row), none)).withColumn("window", F.coalesce("window", F.slice("chosen", 1, 0)))
+    near = F.array_min(F.transform("window", lambda p: F.struct(F.abs(p["ts"] - F.col("middle")).alias("d"), p.alias("p"))))["p"]
+    j = j.withColumn("chosen", F.when((F.size("chosen") == 0) & (F.size("window") > 0), F.array(near)).otherwise(F.coalesce("chosen", none)))
+
+    def add(acc: Column, _: Column) -> Column:
+        free = F.filter("window", lambda p: ~F.exists(acc, lambda c: c["frame_id"] == p["frame_id"]))
+        far = F.transform(free, lambda p: F.struct((-F.array_min(F.transform(acc, lambda c: F.abs(c["ts"] - p["ts"])))).alias("d"), p.alias("p")))
+        return F.when((F.size(acc) >= most) | (F.size(free) == 0), acc).otherwise(F.concat(acc, F.array(F.array_min(far)["p"])))
+
+    picked = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.col("chosen"), add)
+    return j.select("candidate_id", F.posexplode(picked).alias("place", "p")).select("candidate_id", (F.col("place") + 1).alias("place"), F.col("p.frame_id").alias("frame_id"))
 
 
 def chronological(cited: DataFrame) -> DataFrame:

@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from shotline.operators.ranking import ranked
 
 
-def nearest(probes: DataFrame, frames: DataFrame) -> DataFrame:
+def nearest(probes: DataFrame, frames: DataFrame, width: float = 3600.0) -> DataFrame:
     """Two-sided as-of join: for probes (probe_id, video_id, at) the nearest frame (video_id, frame_id, ts); ties to the earlier.
 
-    Both sides are merged and sorted once per video, so no pair is emitted: the
-    last frame before and the first one behind each probe are carried along.
+    Both sides are merged and sorted once per video and time bucket, so a long video
+    spreads over many tasks and no pair is emitted: the last frame before and the
+    first one behind each probe are carried along, from the buckets around where a
+    bucket has none. Only a row for each bucket meets the other buckets of its video.
     """
-    f = frames.select("video_id", F.col("ts").alias("t"), F.lit(None).cast("long").alias("probe_id"), F.struct("ts", "frame_id").alias("frame"))
-    p = probes.select("video_id", F.col("at").alias("t"), "probe_id", F.lit(None).cast(f.schema["frame"].dataType).alias("frame"))
-    both = f.unionByName(p)
+    bucket = lambda c: F.floor(F.col(c) / width)
+    f = frames.where("ts is not null").select("video_id", F.col("ts").alias("t"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.struct("ts", "frame_id").alias("frame"))
+    p = probes.where("at is not null").select("video_id", F.col("at").alias("t"), "probe_id", F.lit(None).cast(f.schema["frame"].dataType).alias("frame"))
+    both = f.unionByName(p).withColumn("bucket", bucket("t"))
     order = [F.col("t"), F.col("probe_id").isNotNull(), F.col("frame.frame_id")]
-    back = Window.partitionBy("video_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("video_id").orderBy(F.col("t"), F.col("probe_id").isNull(), F.col("frame.frame_id")).rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy("video_id", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("video_id", "bucket").orderBy(F.col("t"), F.col("probe_id").isNull(), F.col("frame.frame_id")).rowsBetween(0, Window.unboundedFollowing)
     both = both.withColumn("prev", F.last("frame", ignorenulls=True).over(back)).withColumn("next", F.first("frame", ignorenulls=True).over(ahead))
-    both = both.where("probe_id is not null")
+    edges = both.groupBy("video_id", "bucket").agg(F.max("frame").alias("last"), F.min("frame").alias("first"))
+    of_video = Window.partitionBy("video_id").orderBy("bucket")
+    edges = edges.select(
+        "video_id", "bucket", F.last("last", ignorenulls=True).over(of_video.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("first", ignorenulls=True).over(of_video.rowsBetween(1, Window.unboundedFollowing)).alias("behind"),
+    )
+    both = both.where("probe_id is not null").join(edges, ["video_id", "bucket"])
+    both = both.withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "behind"))
     later = F.col("prev").isNull() | (F.col("next.ts") - F.col("t") < F.col("t") - F.col("prev.ts"))
     exact = F.col("next.ts") == F.col("t")
     pick = F.when(F.col("next").isNotNull() & (exact | later), F.col("next")).otherwise(F.col("prev"))
@@ -55,10 +65,20 @@ def infer_intervals(speech: DataFrame, longest: float = 45.0) -> DataFrame:
     return ok.withColumn("end_sec", F.greatest("start_sec", end))
 
 
+def _spread(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
+    """Rows once for each time bucket that their interval touches."""
+    return df.withColumn("bucket", F.explode(F.sequence(F.floor(start / width), F.floor(end / width))))
+
+
 def map_intervals(intervals: DataFrame, frames: DataFrame, pad: float = 2.0, decay: float = 2.0, longest: float = 45.0) -> DataFrame:
-    """Frames inside an interval weigh 1, within `pad` outside less; an interval without any takes its nearest frame at 1."""
+    """Frames inside an interval weigh 1, within `pad` outside less; an interval without any takes its nearest frame at 1.
+
+    An equi join by time buckets: an interval goes to those it touches, a frame to one.
+    """
     i = intervals.withColumn("end_sec", F.greatest("start_sec", F.coalesce("end_sec", F.col("start_sec") + longest)))
-    near = i.join(frames, "video_id").where(F.col("ts").between(F.col("start_sec") - pad, F.col("end_sec") + pad))
+    width = max(longest, 1.0)
+    spread = _spread(i, F.col("start_sec") - pad, F.col("end_sec") + pad, width)
+    near = spread.join(frames.withColumn("bucket", F.floor(F.col("ts") / width)), ["video_id", "bucket"]).where(F.col("ts").between(F.col("start_sec") - pad, F.col("end_sec") + pad))
     off = F.greatest(F.lit(0.0), F.col("start_sec") - F.col("ts"), F.col("ts") - F.col("end_sec"))
     near = near.select("doc_id", "video_id", "frame_id", F.when(off <= 0, F.lit(1.0)).otherwise(decayed(off, decay)).alias("weight"))
     alone = i.join(near, "doc_id", "left_anti")
@@ -164,9 +184,25 @@ def speech_windows(spans: DataFrame, longest: float = 30.0, least: float = 0.1)
     return s.select("id", F.col("k").alias("window"), begin.alias("from_sec"), F.when(F.col("k") == F.col("n") - 1, F.col("end_sec")).otherwise(begin + longest).alias("to_sec"))
 
 
-def model_windows(n_frames: int, width: int = 100, step: int = 50) -> list[tuple[int, int]]:
-    """Starts and ends of overlapping windows over padded frames; the middle half of each counts."""
-    return [(s, s + width) for s in range(0, max(1, n_frames), step)]
+def model_windows(videos: DataFrame, width: int = 100, step: int = 50, edge: int = 25) -> DataFrame:
+    """Overlapping windows of each video (video_id, n_frames): (video_id, window, first_frame, last_frame, keep_from, keep_to).
+
+    Frames are padded by repeating the first `edge` times in front, the last as often
+    behind and up to a whole step; windows start every `step`. Of a window the
+    predictions of its places edge .. edge + step count, for keep_from .. keep_to of
+    the video.
+    """
+    n, rest = F.col("n_frames"), F.col("n_frames") % step
+    padded = n + 2 * edge + F.when(rest == 0, 0).otherwise(step - rest)
+    w = videos.where("n_frames > 0").withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((padded - width) / step))))
+    at = F.col("window") * step - edge
+    held = lambda c: F.greatest(F.lit(0), F.least(n - 1, c))
+    return w.select("video_id", "window", held(at).alias("first_frame"), held(at + width - 1).alias("last_frame"), (at + edge).alias("keep_from"), held(at + edge + step - 1).alias("keep_to"))
+
+
+def cut_frames(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Frames (video_id, frame) whose cut score reaches the threshold."""
+    return scores.where(F.col("score") >= threshold).select("video_id", "frame")
 
 
 def neighbours(frames: DataFrame) -> DataFrame:
@@ -175,6 +211,14 @@ def neighbours(frames: DataFrame) -> DataFrame:
     return frames.select("frame_id", F.lag("frame_id").over(w).alias("before_id"), F.lead("frame_id").over(w).alias("after_id"))
 
 
+def shot_listing(frames: DataFrame, heard: DataFrame, read: DataFrame) -> DataFrame:
+    """Frames with their shot's bounds and the texts heard and read at them (frame_id, doc_id, text), joined by " | " in order of doc_id."""
+    joined = lambda df, name: df.groupBy("frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda t: t["text"]), " | ").alias(name))
+    of_shot = frames.groupBy("shot_id").agg(F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"))
+    out = frames.join(joined(heard, "asr"), "frame_id", "left").join(joined(read, "ocr"), "frame_id", "left").join(of_shot, "shot_id")
+    return out.select("video_id", "shot_id", "frame_id", F.coalesce("asr", F.lit("")).alias("asr"), F.coalesce("ocr", F.lit("")).alias("ocr"), "start_frame", "end_frame")
+
+
 def shot_validation(frames: DataFrame, weight: float = 0.3, least_frames: int = 2, threshold: float = 0.15) -> DataFrame:
     """Mean similarity and evenness 1/(1 + largest gap) of each shot (shot_id, ts, sim), mixed and judged."""
     gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("shot_id").orderBy("ts", "frame_id"))
@@ -184,9 +228,14 @@ def shot_validation(frames: DataFrame, weight: float = 0.3, least_frames: int =
     return g.withColumn("valid", (F.col("n") >= least_frames) & (F.col("composite") >= threshold)).drop("gap")
 
 
-def overlap(moments: DataFrame, speech: DataFrame, pad: float = 2.0, k: int = 8) -> DataFrame:
-    """Speech intervals that overlap a padded moment, the nearest to its middle first, at most k."""
-    j = moments.join(speech, "video_id").where((F.col("start_sec") <= F.col("m_end") + pad) & (F.col("end_sec") >= F.col("m_start") - pad))
+def overlap(moments: DataFrame, speech: DataFrame, pad: float = 2.0, k: int = 8, width: float = 60.0) -> DataFrame:
+    """Speech intervals that overlap a padded moment, the nearest to its middle first, at most k.
+
+    Both go to the time buckets they touch; a pair counts in the first one they share.
+    """
+    a, b = F.col("m_start") - pad, F.col("m_end") + pad
+    both = _spread(moments, a, b, width).join(_spread(speech, F.col("start_sec"), F.col("end_sec"), width), ["video_id", "bucket"])
+    j = both.where((F.col("start_sec") <= b) & (F.col("end_sec") >= a) & (F.col("bucket") == F.greatest(F.floor(a / width), F.floor(F.col("start_sec") / width)))).drop("bucket")
     off = F.abs((F.col("start_sec") + F.col("end_sec")) / 2 - (F.col("m_start") + F.col("m_end")) / 2)
     return ranked(j.withColumn("off", off), ["moment_id"], ["off", "doc_id"]).where(F.col("rank") <= k)
 

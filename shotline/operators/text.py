@@ -1,4 +1,15 @@
-"""Full-text search: BM25 with phrase, all-terms, most-terms and fuzzy clauses."""
+"""Full-text search: a sum of boosted BM25 clauses, and what is made of its hits.
+
+A document's score for a request is the sum of the clauses it matches: the phrase
+x8, all terms x5, at least 60 % of the terms (rounded down) x3, near terms x2.
+Every clause is a BM25 sum over terms; a phrase counts as one term whose rarity is
+that of its words together, a near term (within the edits its length allows) as
+its request term at the rarity of all that is near it, less the further it is.
+
+Documents are tokenised once into a small digest (lengths and the counts of the
+request's own terms), which is shuffled: the counts over all documents and the
+scores read the same exchange. Texts themselves don't move.
+"""
 
 from __future__ import annotations
 
@@ -7,68 +18,150 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotline.functions.scalar import document_quality, tokens
+from shotline.functions.scalar import document_quality, folded, tokens
 from shotline.operators.ranking import ranked, top_per
 
 K1, B = 1.2, 0.75
 PHRASE, ALL, MOST, FUZZY = 8.0, 5.0, 3.0, 2.0
+ENOUGH = 0.6
+#: Evidence rows kept of a frame.
+EVIDENCE = 8
 
 
-def _is(term: str):
-    return lambda x: x == term
+def edits(term: str) -> int:
+    """Edits allowed: none up to two characters, one up to five, else two."""
+    return 0 if len(term) < 3 else 1 if len(term) < 6 else 2
 
 
 def _near(term: str):
-    """Within the edits allowed; terms that allow none must be equal."""
-    return (lambda x: F.levenshtein(x, F.lit(term)) <= _fuzzy(term)) if _fuzzy(term) else _is(term)
+    """Whether a token is within the edits that the term allows: lengths first, as they rule most tokens out."""
+    k = edits(term)
+    if not k:
+        return lambda t: t == term
+    return lambda t: F.length(t).between(len(term) - k, len(term) + k) & (F.levenshtein(t, F.lit(term), k) >= 0)
 
 
-def bm25(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """(doc_id, term, tf, score): BM25 parts of the query's terms, corpus counts over all documents.
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
-    One pass counts terms per document (no explode of the vocabulary): only the
-    query's few terms leave the scan, and the document frequencies are one row.
-    """
-    ts = tokens(F.col(text))
-    d = docs.select("doc_id", ts.alias("ts")).select("doc_id", F.size("ts").alias("dl"), *[F.size(F.filter("ts", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    j = d.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
-    parts = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"tf{i}").alias("tf"), F.col(f"df{i}").alias("df")) for i, t in enumerate(terms)])
-    e = j.select("doc_id", "dl", "n", "avg_dl", F.explode(parts).alias("p")).where("p.tf > 0")
-    idf = F.log(1 + (F.col("n") - F.col("p.df") + 0.5) / (F.col("p.df") + 0.5))
-    score = idf * F.col("p.tf") * (K1 + 1) / (F.col("p.tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    return e.select("doc_id", F.col("p.term").alias("term"), F.col("p.tf").alias("tf"), score.alias("score"))
-
-
-def _fuzzy(term: str) -> int:
-    """Edits allowed: none up to two characters, one up to five, else two."""
-    return 0 if len(term) < 3 else 1 if len(term) < 6 else 2
 
+def _near_any(terms: list[str]):
+    return lambda t: _any([_near(x)(t) for x in terms])
 
-def search(docs: DataFrame, query: str, k: int | None = None) -> DataFrame:
-    """(doc_id, score): the sum of the matching clauses' weights, times the BM25 of exact terms where there are some.
 
-    phrase x8, all terms x5, at least 60 % of the terms (rounded down) x3, fuzzy x2.
+def _is(term: str):
+    return lambda t: t == term
+
+
+def _place_of(words: list[str]):
+    """Whether the words stand at a place (0-based) of `ts`."""
+    return lambda i: F.slice("ts", i + 1, len(words)) == F.array(*[F.lit(w) for w in words])
+
+
+def _expansions(term: str) -> Column:
+    """(tf, boost) of each distinct token near a term; `some` has the near tokens."""
+    boost = lambda t: 1 - F.levenshtein(t, F.lit(term)) / F.least(F.length(t), F.lit(len(term)))
+    return F.transform(F.filter(F.array_distinct("some"), _near(term)), lambda t: F.struct(F.size(F.filter("some", lambda u: u == t)).alias("tf"), boost(t).alias("boost")))
+
+
+def _digest(docs: DataFrame, requests: list[list[str]], terms: list[str], text: str) -> DataFrame:
+    """doc_id, dl, tf (of each term), pf (of each request's phrase), near (of each term: expansions), by one pass and one exchange."""
+    t = docs.select("doc_id", tokens(F.col(text)).alias("ts"))
+    t = t.select("doc_id", "ts", F.size("ts").alias("dl"), F.filter("ts", _near_any(terms)).alias("some"))
+    t = t.withColumn("tf", F.array(*[F.size(F.filter("some", _is(x))) for x in terms]))
+    phrase = [
+        F.when(_all_of(words, terms) & (F.col("dl") >= len(words)), F.size(F.filter(F.sequence(F.lit(0), F.col("dl") - len(words)), _place_of(words)))).otherwise(0) if words else F.lit(0)
+        for words in requests
+    ]
+    t = t.select("doc_id", "dl", "tf", F.array(*phrase).alias("pf"), F.array(*[_expansions(x) for x in terms]).alias("near"))
+    return t.repartition(F.col("doc_id"))
+
+
+def _all_of(words: list[str], terms: list[str], tf: str = "tf") -> Column:
+    out = F.lit(True)
+    for w in set(words):
+        out = out & (F.col(tf)[terms.index(w)] > 0)
+    return out
+
+
+def _stats(digest: DataFrame, terms: list[str]) -> DataFrame:
+    """One row: documents, mean length, and of each term the documents that hold it (df) or something near it (dfn).
+
+    `n` adds 1 a row by way of all columns, so that the optimiser prunes none and the digest's exchange is reused.
     """
-    terms = list(dict.fromkeys(t for t in query.lower().split()))
-    ts = tokens(F.col("text"))
-    d = docs.select("doc_id", ts.alias("ts"))
-    hit = [F.array_contains("ts", t) for t in terms]
-    near = [F.exists("ts", _near(t)) for t in terms]
-    n_hit = sum((h.cast("int") for h in hit), F.lit(0))
-    phrase = F.contains(F.concat(F.lit(" "), F.array_join("ts", " "), F.lit(" ")), F.lit(f" {' '.join(terms)} "))
-    enough = max(1, math.floor(0.6 * len(terms)))
-    any_near = near[0]
-    for x in near[1:]:
-        any_near = any_near | x
-    clause = (
-        F.when(phrase, PHRASE).otherwise(0.0) + F.when(n_hit == len(terms), ALL).otherwise(0.0)
-        + F.when(n_hit >= enough, MOST).otherwise(0.0) + F.when(any_near, FUZZY).otherwise(0.0)
-    )
-    clauses = d.select("doc_id", clause.alias("clauses")).where("clauses > 0")
-    exact = bm25(docs, terms).groupBy("doc_id").agg(F.sum("score").alias("bm25"))
-    out = clauses.join(exact, "doc_id", "left").select("doc_id", (F.col("clauses") * (1 + F.coalesce("bm25", F.lit(0.0)))).alias("score"))
-    return out if k is None else top_per(out.withColumn("one", F.lit(1)), ["one"], [F.desc(F.round("score", 6)), "doc_id"], k).drop("one")
+    each = lambda f: F.array(*[F.sum(f(i).cast("long")) for i in range(len(terms))])
+    one = F.pmod(F.hash("doc_id", "dl", "tf", "pf", "near"), F.lit(1)) + 1
+    df, dfn = each(lambda i: F.col("tf")[i] > 0), each(lambda i: F.size(F.col("near")[i]) > 0)
+    return digest.agg(F.sum(one.cast("long")).alias("n"), F.avg("dl").alias("avg_dl"), df.alias("df"), dfn.alias("dfn"))
+
+
+def _idf(df: Column) -> Column:
+    return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+
+
+def _saturated(tf: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+
+
+def _sum(parts: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for p in parts:
+        out = out + p
+    return out
+
+
+def request_terms(requests: list[str]) -> list[list[str]]:
+    """Words of requests in plain letters, as the analyser has them."""
+    from shotline.functions.scalar import STOP
+
+    return [[w for w in r.lower().split() if w not in STOP] for r in requests]
+
+
+def bm25(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """(doc_id, term, tf, score): BM25 parts of the terms, corpus counts over all documents."""
+    d = _digest(docs, [[]], terms, text)
+    j = d.crossJoin(F.broadcast(_stats(d, terms)))  # one row
+    parts = F.array(*[F.struct(F.lit(t).alias("term"), F.col("tf")[i].alias("tf"), (_idf(F.col("df")[i]) * _saturated(F.col("tf")[i])).alias("score")) for i, t in enumerate(terms)])
+    return j.select("doc_id", F.explode(parts).alias("p")).where("p.score > 0").select("doc_id", "p.term", "p.tf", "p.score")
+
+
+def search_many(docs: DataFrame, requests: list[str], text: str = "text") -> DataFrame:
+    """(doc_id, keyword, score) of every document that matches a clause of a request; requests are a short list."""
+    words = request_terms(requests)
+    terms = list(dict.fromkeys(w for r in words for w in r))
+    if not terms:
+        return docs.where(F.lit(False)).select("doc_id", F.lit("").alias("keyword"), F.lit(0.0).alias("score"))
+    d = _digest(docs, words, terms, text)
+    j = d.crossJoin(F.broadcast(_stats(d, terms)))  # one row
+    part = {t: _idf(F.col("df")[i]) * _saturated(F.col("tf")[i]) for i, t in enumerate(terms)}
+    near = {
+        t: _idf(F.col("dfn")[i]) * F.aggregate(F.transform(F.col("near")[i], lambda e: e["boost"] * _saturated(e["tf"])), F.lit(0.0), lambda a, x: a + x)
+        for i, t in enumerate(terms)
+    }
+    scores = []
+    for k, r in enumerate(words):
+        own = list(dict.fromkeys(r))
+        at = [terms.index(w) for w in own]
+        exact = _sum([part[w] for w in own])
+        held = sum((F.when(F.col("tf")[i] > 0, 1).otherwise(0) for i in at), F.lit(0))
+        rare = _sum([_idf(F.col("df")[terms.index(w)]) for w in r])
+        clauses = [
+            F.when(F.col("pf")[k] > 0, PHRASE * rare * _saturated(F.col("pf")[k])).otherwise(0.0), F.when(held == len(own), ALL * exact).otherwise(0.0),
+            F.when(held >= max(1, math.floor(ENOUGH * len(own))), MOST * exact).otherwise(0.0), FUZZY * _sum([near[w] for w in own]),
+        ]
+        if own:
+            scores.append(F.struct(F.lit(requests[k]).alias("keyword"), _sum(clauses).alias("score")))
+    out = j.select("doc_id", F.explode(F.array(*scores)).alias("s")).where("s.score > 0")
+    return out.select("doc_id", "s.keyword", "s.score")
+
+
+def search(docs: DataFrame, query: str, k: int | None = None) -> DataFrame:
+    """(doc_id, score) of one request, all of them or the k best."""
+    out = search_many(docs, [query]).select("doc_id", "score")
+    return out if k is None else out.orderBy(F.desc(F.round("score", 6)), "doc_id").limit(k)
 
 
 def frame_hits(hits: DataFrame, docs: DataFrame, frames: DataFrame) -> DataFrame:
@@ -81,21 +174,42 @@ def speech_hits(hits: DataFrame, mapped: DataFrame, k: int) -> DataFrame:
     j = hits.join(mapped, "doc_id").withColumn("s", F.col("score") * F.col("weight"))
     best = ranked(j, ["frame_id"], [F.desc(F.round("s", 9)), "doc_id"], "n").where("n = 1")
     out = best.select("frame_id", "video_id", "doc_id", F.col("s").alias("score"))
-    return top_per(out.withColumn("one", F.lit(1)), ["one"], [F.desc(F.round("score", 9)), "frame_id"], k).drop("one")
+    return top_per(out.orderBy(F.desc(F.round("score", 9)), "frame_id").limit(k).withColumn("one", F.lit(1)), ["one"], [F.desc(F.round("score", 9)), "frame_id"], k).drop("one")
 
 
-def keyword_evidence(hits: DataFrame, k: int) -> DataFrame:
-    """Per frame: the best of normalised score x quality x weight over keywords, raised by 0.2 for each further keyword.
+def keyword_hits(docs: DataFrame, requests: list[tuple[str, tuple[str, ...], tuple[str, ...]]], pool: int) -> DataFrame:
+    """(request, keyword, doc_id, frame_id, source, score, quality, weight, exact_phrase) of requests (name, keywords, sources).
 
-    `hits`: (keyword, doc_id, frame_id, score, quality, weight).
+    Each keyword takes its `pool` best documents of the request's sources; a
+    document that has no frame, or no quality, has no hit.
     """
-    w = Window.partitionBy("keyword")
+    spark = docs.sparkSession
+    words = list(dict.fromkeys(k for _, ks, _ in requests for k in ks))
+    asked = spark.createDataFrame([(n, k, s) for n, ks, ss in requests for k in ks for s in ss], "request string, keyword string, source string")
+    meta = docs.select("doc_id", "frame_id", "source", quality(F.col("source"), F.col("text")).alias("quality"), folded(F.col("text")).alias("folded"))
+    h = search_many(docs, words).join(meta.select("doc_id", "source"), "doc_id").join(F.broadcast(asked), ["keyword", "source"])  # a short list
+    best = top_per(h, ["request", "keyword"], [F.desc(F.round("score", 6)), "doc_id"], pool).drop("rank", "source")
+    out = best.join(meta, "doc_id").where("frame_id is not null and quality > 0").withColumn("weight", F.lit(1.0))
+    return out.withColumn("exact_phrase", F.contains("folded", folded(F.col("keyword")))).drop("folded")
+
+
+def keyword_evidence(hits: DataFrame, k: int, by: tuple[str, ...] = ("request",)) -> DataFrame:
+    """Frames of a request: the best of normalised score x quality x weight over keywords, raised by 0.2 for each further keyword; the top k.
+
+    Scores are spread over 0..1 among the hits of a request's keyword (equal ones: 1).
+    """
+    w = Window.partitionBy(*by, "keyword")
     low, span = F.min("score").over(w), F.max("score").over(w) - F.min("score").over(w)
     normal = F.when(span <= 1e-9, 1.0).otherwise((F.col("score") - low) / span)
-    h = hits.withColumn("c", normal * F.col("quality") * F.col("weight"))
-    g = h.groupBy("frame_id").agg(F.max("c").alias("best"), F.countDistinct("keyword").alias("n_keywords"))
+    h = hits.withColumn("c", normal * F.col("quality") * F.col("weight")).withColumn("semantic", folded(F.col("keyword")))
+    g = h.groupBy(*by, "frame_id").agg(F.max("c").alias("best"), F.countDistinct("semantic").alias("n_keywords"), F.avg("quality").alias("avg_quality"))
     out = g.withColumn("score", F.col("best") * (1 + 0.2 * (F.col("n_keywords") - 1)))
-    return top_per(out.withColumn("one", F.lit(1)), ["one"], [F.desc(F.round("score", 9)), "frame_id"], k).drop("one", "best")
+    return top_per(out, list(by), [F.desc(F.round("score", 9)), F.asc("frame_id")], k).drop("best")
+
+
+def evidence_rows(hits: DataFrame, by: tuple[str, ...] = ("request",), most: int = EVIDENCE) -> DataFrame:
+    """At most `most` hits of each frame as its evidence, by keyword and score."""
+    return ranked(hits, [*by, "frame_id"], ["keyword", F.desc(F.round("score", 6)), "doc_id"], "n").where(F.col("n") <= most).drop("n")
 
 
 def suppress_near(hits: DataFrame, window: float = 2.0) -> DataFrame:
@@ -105,12 +219,35 @@ def suppress_near(hits: DataFrame, window: float = 2.0) -> DataFrame:
     return g.select("keyword", "video_id", "shot_id", F.explode(kept).alias("x")).select("keyword", "video_id", "shot_id", F.col("x.doc_id").alias("doc_id"), F.col("x.rank").alias("rank"))
 
 
-def hit_quality(hits: DataFrame, by: list) -> DataFrame:
-    """Coverage, separation and mean quality of the first ten hits, mixed .5/.3/.2."""
-    top = hits.where("rank <= 10")
-    g = top.groupBy(*by).agg((F.count("*") / 10).alias("coverage"), F.max("score").alias("best"), F.expr("percentile(score, 0.5)").alias("median"), F.avg("quality").alias("quality"))
-    apart = F.when(F.abs(F.col("best")) > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("best") - F.col("median")) / F.abs(F.col("best"))))).otherwise(F.lit(0.0))
-    return g.select(*by, "coverage", apart.alias("separation"), "quality", (0.5 * F.col("coverage") + 0.3 * apart + 0.2 * F.col("quality")).alias("hit_quality"))
+def hit_quality(hits: DataFrame, results: DataFrame, keywords: DataFrame, by: list) -> DataFrame:
+    """Of each request: keyword coverage, score separation and document quality of its first ten results, mixed .5/.3/.2.
+
+    `keywords` has (by, keyword) asked for; keywords that differ in accents or case
+    only are one. Separation is (best - median of ten) / best; a single result is
+    fully apart, none isn't at all.
+    """
+    asked = keywords.select(*by, folded(F.col("keyword")).alias("k")).distinct().groupBy(*by).agg(F.count("*").alias("asked"))
+    met = hits.select(*by, folded(F.col("keyword")).alias("k")).distinct().groupBy(*by).agg(F.count("*").alias("met"))
+    top = results.where("rank <= 10").groupBy(*by).agg(F.max("score").alias("best"), F.expr("percentile(score, 0.5)").alias("median"), F.count("*").alias("n"), F.avg("avg_quality").alias("quality"))
+    j = asked.join(met, by, "left").join(top, by, "left")
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("best") - F.col("median")) / F.greatest(F.abs(F.col("best")), F.lit(1e-9))))
+    j = j.withColumn("coverage", F.coalesce(F.col("met"), F.lit(0)) / F.col("asked")).withColumn("separation", F.when(F.col("n").isNull(), 0.0).when(F.col("n") == 1, 1.0).otherwise(held))
+    j = j.withColumn("quality", F.coalesce("quality", F.lit(0.0)))
+    return j.select(*by, "coverage", "separation", "quality", (0.5 * F.col("coverage") + 0.3 * F.col("separation") + 0.2 * F.col("quality")).alias("hit_quality"))
+
+
+def joint_request(ocr: tuple[str, ...], asr: tuple[str, ...], confidence: dict[str, float]) -> tuple[tuple[str, ...], float] | None:
+    """One list of keywords for both sources (the first of those that fold to the same), and the larger confidence; none without either."""
+    import unicodedata
+
+    seen: dict[str, str] = {}
+    for word in (*ocr, *asr):
+        word = word.strip()
+        key = " ".join(unicodedata.normalize("NFKC", word).casefold().split())
+        if key:
+            seen.setdefault(key, word)
+    most = max(confidence.get("ocr", 0.0), confidence.get("asr", 0.0))
+    return (tuple(seen.values()), most) if seen and most > 0 else None
 
 
 def quality(source: Column, text: Column) -> Column:

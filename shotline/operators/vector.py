@@ -28,7 +28,7 @@ def cosine(a: str, b: str) -> Column:
 
 
 def scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """All (query, frame) scores of a model. `queries` is a bounded set of requests, broadcast."""
+    """All (query, frame) scores of a model; `queries` are broadcast, so at most a block of them (see `scored_in_blocks`, which counts)."""
     return vectors.join(F.broadcast(queries), "model").select("query_id", "model", "frame_id", cosine("embedding", "q").alias("score"))
 
 
@@ -51,7 +51,7 @@ def scored_in_blocks(vectors: DataFrame, queries: DataFrame, size: int = 1000) -
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Best k frames of each query and model; ties by frame_id. Spark limits groups before the shuffle."""
-    return best(scored(vectors, queries), k)
+    return best(scored_in_blocks(vectors, queries), k)
 
 
 def best(scores: DataFrame, k: int) -> DataFrame:

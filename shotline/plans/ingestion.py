@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotline.operators import quality
 from shotline.plans.registry import query
+from shotline.plans.scalars import PATHS, _paths
 from shotline.sources import fixtures as fx
 from shotline.sources import store
 
 r6 = lambda c: F.round(c, 6)
 
 
-@query()
+FILES = "'/root/testdata/sf0.01/**'"
+
+
+@query(f"select regexp_extract(filename, '([^/]+)$', 1) as name, size as size_bytes, row_number() over (order by filename) as place from read_blob({FILES}) where filename ilike '%.parquet'")
 def S1_discover(spark, sf):
-    return store.discover(spark, sf, ("parquet",)).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size_bytes")
+    w = Window.orderBy("path")  # one row for each file
+    return store.discover(spark, sf, ("PARQUET",)).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size_bytes", F.row_number().over(w).alias("place"))
 
 
-@query()
+@query(f"select sha256(content)[1:16] as video_id, sha256(content) as checksum from read_blob({FILES})")
 def S2_fingerprints(spark, sf):
     return store.fingerprints(spark, sf).select("video_id", "checksum")
 
@@ -31,6 +38,122 @@ def S3_permissive_json(spark, sf):
     return p.where("r is not null and r._bad is null").select("event_id", "r.page", "r.k")
 
 
+ROW = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("value", T.DoubleType())])
+
+
+def _lines(spark, sf):
+    e = fx.table(spark, sf, "events").select("event_id", F.col("event_type").alias("kind"), "value")
+    return e, F.to_json(F.struct(*sorted(e.columns)))
+
+
+@query("select event_id, event_type as kind, value from events")
+def S4_strict_json(spark, sf):
+    """A manifest of sound lines; a corrupt one would fail the read (tested)."""
+    e, line = _lines(spark, sf)
+    path = store.workspace(spark, "strict")
+    e.select(line.alias("value")).write.text(path)
+    return store.read_jsonl(spark, path, ROW, strict=True)[0]
+
+
+@query("select event_id, event_type as kind, value from events where event_id % 10 <> 0")
+def K10_repair(spark, sf):
+    """Every tenth line is cut; the manifest is rewritten with the sound ones, the old kept beside."""
+    e, line = _lines(spark, sf)
+    path = store.workspace(spark, "repair")
+    e.select(F.when(F.col("event_id") % 10 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
+    store.repair(spark, path, ROW, dry_run=True)  # changes nothing
+    store.repair(spark, path, ROW, dry_run=False)
+    return store.read_jsonl(spark, path, ROW, strict=True)[0]
+
+
+@query("""select event_id, '{"event_id":' || event_id || ',"kind":"' || event_type || '","note":"đã ' || user_id || '"}' as line from events""")
+def K1_append(spark, sf):
+    """Two appends of records with sorted keys, accents as they are."""
+    e = fx.table(spark, sf, "events").select("event_id", F.col("event_type").alias("kind"), F.concat(F.lit("đã "), "user_id").alias("note"))
+    path = store.workspace(spark, "append")
+    store.append_jsonl(e.where("event_id % 2 = 0"), path)
+    store.append_jsonl(e.where("event_id % 2 = 1"), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.col("value").alias("line"))
+
+
+@query("select doc_id, lang, 2 as version from documents")
+def K2_replace(spark, sf):
+    """Written twice: the second stands, the first is kept as .bak (tested)."""
+    d = fx.table(spark, sf, "documents").select("doc_id", "lang")
+    path = store.workspace(spark, "replace")
+    store.replace(d.withColumn("version", F.lit(1)), path, "doc_id")
+    store.replace(d.withColumn("version", F.lit(2)), path, "doc_id")
+    return spark.read.parquet(path)
+
+
+@query("select doc_id, n_chars, lang as part, case when lang = 'fr' then 2 else 1 end as version from documents")
+def K3_partitions(spark, sf):
+    """A partition for each language, one of them written again; all of them as one table."""
+    d = fx.table(spark, sf, "documents").select("doc_id", "n_chars", F.col("lang").alias("part"))
+    path = store.workspace(spark, "partitions")
+    store.write_partitions(d.withColumn("version", F.lit(1)), path, ["part"])
+    store.write_partitions(d.where("part = 'fr'").withColumn("version", F.lit(2)), path, ["part"])
+    return store.consolidate(spark, path, "doc_id").select("doc_id", "n_chars", "part", "version")
+
+
+@query(f"with {fx.DOCS_SQL} select source, count(*) as n, count(distinct doc_id) as n_ids, sum(length(text))::bigint as n_chars from text_docs group by all")
+def K6_text_store(spark, sf):
+    path = store.workspace(spark, "text")
+    store.build_text_store(fx.text_docs(spark, sf), path)
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(f"with {fx.VECTORS_SQL} select model, frame_id, round(e[1], 6) as first, len(e) as dims from vectors where frame_id < 100 union all select model, -1, round(sum(e[1]), 3), count(*) from vectors group by all")
+def K7_vector_store(spark, sf):
+    """The store, read by a range of ids that skips its other files, and its totals."""
+    path = store.workspace(spark, "vectors")
+    store.build_vector_store(fx.vectors(spark, sf), path, 4)
+    v, at = spark.read.parquet(path), F.col("embedding")[0].cast("double")
+    some = v.where("frame_id < 100").select("model", "frame_id", r6(at).alias("first"), F.size("embedding").cast("long").alias("dims"))
+    return some.unionByName(v.groupBy("model").agg(F.lit(-1).cast("long").alias("frame_id"), F.round(F.sum(at), 3).alias("first"), F.count("*").alias("dims")))
+
+
+CONFIG = {"embedding_models": ["a", "b"], "frame_sampling": "shot-percentile", "pipeline": "retrieval"}
+CANONICAL = '{"embedding_models":["a","b"],"frame_sampling":"shot-percentile","pipeline":"retrieval"}'
+
+
+@query(f"select sha256('{CANONICAL}')[1:8] as config_hash, (select count(*) from documents) as documents, 'READY' as status")
+def K9_artifacts(spark, sf):
+    """A readiness report as one JSON file, read back."""
+    path = store.workspace(spark, "artifact")
+    n = fx.table(spark, sf, "documents").count()
+    store.write_json(spark, {"status": "READY", "documents": n, "config_hash": store.config_hash(CONFIG)}, path)
+    value = spark.read.text(path).select(F.from_json("value", "config_hash string, documents long, status string").alias("v"))
+    return value.select("v.*")
+
+
+@query(f"""select plan, plan in ('current') as runs from (values ('current'), ('pending'), ('other_config'), ('other_data')) t(plan)""")
+def G6_plan_check(spark, sf):
+    """A plan runs if it was approved for this configuration and these data."""
+    data = store.profile(store.entries(spark, sf, ("parquet",))).first().fingerprint
+    current = {"status": "APPROVED", "config_hash": store.config_hash(CONFIG), "dataset": data}
+    plans = {"current": current, "pending": current | {"status": "PENDING_APPROVAL"}, "other_config": current | {"config_hash": store.config_hash(CONFIG | {"pipeline": "x"})}, "other_data": current | {"dataset": "0" * 64}}
+    return spark.createDataFrame([(n, store.plan_is_current(p, CONFIG, data)) for n, p in plans.items()], "plan string, runs boolean")
+
+
+MIGRATION = f"with {PATHS}, n as (select frame_id, path as was, trim(path) as raw, replace(path, '\\\\', '/') as path from paths), r as (select *, regexp_replace(replace(case when starts_with(path, '/') then path else '/runs/a/' || path end, '/./', '/'), '/[^/]+/\\\\.\\\\.(/|$)', '/') as resolved from n), s as (select *, case when raw <> '' and starts_with(resolved, '/runs/a/') and resolved in (select file from files) then resolved[9:] end as new_path from r)".replace("\\\\", "\\")
+
+
+@query(f"{MIGRATION} select frame_id, coalesce(new_path, '') as new_path, new_path is not null and new_path <> path as changed, new_path is null as issue, (select count(*) from s where new_path is null) = 0 as may_apply from s")
+def G7_path_migration(spark, sf):
+    """Paths as relative ones; a plan with an unresolved record must not be applied."""
+    paths, files = _paths(spark, sf)
+    plan = quality.path_migration(quality.path_states(paths, files, "/runs/a"), "/runs/a")
+    return plan.select("frame_id", F.coalesce("new_path", F.lit("")).alias("new_path"), "changed", "issue", "may_apply")
+
+
+@query("select top_k, least(100, greatest(1, top_k)) as held from (values (-5), (0), (1), (50), (100), (1000)) t(top_k)")
+def L6_clamp(spark, sf):
+    from shotline.operators import ranking
+
+    return spark.createDataFrame([(k, ranking.clamp_k(k)) for k in (-5, 0, 1, 50, 100, 1000)], "top_k int, held int")
+
+
 @query("select distinct source from documents")
 def S5_distinct_keys(spark, sf):
     return fx.table(spark, sf, "documents").select("source").distinct()
@@ -53,15 +176,22 @@ def S9_dump(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
-@query("select doc_id as query_id, count(*) as n_labels from labels where quality is not null group by all")
+QRELS = """q as (select user_id as query_id, list(event_id order by event_id) filter (event_type = 'purchase') as frames, list(struct_pack(a := epoch_us(ts) / 1e6, b := epoch_us(ts) / 1e6 + value)) filter (event_type = 'error') as moments from events group by all)"""
+
+
+@query(f"with {QRELS} select query_id, len(coalesce(frames, [])) as n_frames, len(coalesce(moments, [])) as n_moments from q where len(coalesce(frames, [])) + len(coalesce(moments, [])) > 0")
 def S11_qrels(spark, sf):
-    """Unique query ids with at least one label; a violation fails the read."""
-    q = fx.table(spark, sf, "labels").where("quality is not null").groupBy(F.col("doc_id").alias("query_id")).agg(F.count("*").alias("n_labels"))
-    return q.withColumn("n_labels", F.when(F.col("n_labels") < 1, F.raise_error(F.lit("no label"))).otherwise(F.col("n_labels")))
+    """Queries with relevant frames or moments; repeated ids, none of either or an inverted moment fail the read (tested)."""
+    e = fx.table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    moment = F.struct(F.col("user_id").cast("string").alias("video_id"), F.col("at").alias("start_sec"), (F.col("at") + F.col("value")).alias("end_sec"))
+    q = e.groupBy(F.col("user_id").alias("query_id")).agg(F.collect_list(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("relevant_frame_ids"), F.collect_list(F.when(F.col("event_type") == "error", moment)).alias("relevant_moments"))
+    q = store.checked_qrels(q.withColumn("query", F.concat(F.lit("query "), "query_id")).where("size(relevant_frame_ids) + size(relevant_moments) > 0"))
+    return q.select("query_id", F.size("relevant_frame_ids").cast("long").alias("n_frames"), F.size("relevant_moments").cast("long").alias("n_moments"))
 
 
 @query("select vec_id as frame_id, vec_id // 50 as video_id, vec_id % 50 as frame_no from embeddings")
 def S13_parse_ids(spark, sf):
+    """Manifest rows from frame names alone; names of another form have neither part."""
     name = F.concat(F.lit("video_"), F.expr("vec_id div 50"), F.lit("_f"), F.lpad(F.expr("vec_id % 50").cast("string"), 8, "0"))
     e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), name.alias("name"))
     return e.select("frame_id", F.regexp_extract("name", r"^video_(\d+)_f(\d+)$", 1).cast("long").alias("video_id"), F.regexp_extract("name", r"^video_(\d+)_f(\d+)$", 2).cast("long").alias("frame_no"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotline.operators import chains, ranking, temporal, vector
-from shotline.plans.registry import ORACLE_SQL, query
+from shotline.operators import chains, fusion, ranking, temporal, vector
+from shotline.plans.registry import query
 from shotline.sources import fixtures as fx
 
 r6 = lambda c: F.round(c, 6)
@@ -116,72 +116,44 @@ def J8_bidirectional_pairs(spark, sf):
     return out.select("f_i", "f_j", r6("pair_score").alias("pair_score"))
 
 
-@query(f"""{EV} {PAIR.format(n='p1', a='view', b='click')}, {PAIR.format(n='p2', a='click', b='purchase')},
+SHOT = "'v' || video_id || '_s' || (event_id // 100)"
+SHOTS = f"shots as (select event_id, {SHOT} as shot_id from points)"
+CHAINS = f"""{EV} {SHOTS}, {PAIR.format(n='p1', a='view', b='click')}, {PAIR.format(n='p2', a='click', b='purchase')},
 j as (select p1.video_id, p1.f_i as e0, p1.f_j as e1, p1.s_i as s0, p1.s_j as s1, p2.f_j as e2, p2.s_j as s2, row_number() over (partition by p1.video_id, p1.f_i, p1.f_j order by p2.pair_score desc, p2.f_i, p2.f_j) as n
-  from p1 join p2 on p1.video_id = p2.video_id and abs(floor(p1.f_j / 25) - floor(p2.f_i / 25)) <= 3 and p2.ts_j > p1.ts_j and p2.ts_j <= p1.ts_j + 172800), c as (select * from j where n = 1)
-select video_id, e0, e1, e2, round((s0 / max(s0) over () + s1 / max(s1) over () + s2 / max(s2) over ()) / 3, 6) as score from c""")
-def J9_chain_join(spark, sf):
-    a, b, c = (_event(spark, sf, k) for k in ("view", "click", "purchase"))
-    pairs = [chains.direct_pairs(a, b, 172800.0), chains.direct_pairs(b, c, 172800.0)]
-    return chains.chain_join(pairs, 172800.0).select("video_id", "e0", "e1", "e2", r6("score").alias("score"))
-
-
-BEAM = f"""{EV} q as (select *, score / max(score) over () as quality from ev),
-e1 as (select * from (select *, row_number() over (partition by video_id order by quality desc, frame_id) as n from q where kind = 'view') where n <= 24),
-e2 as (select * from (select *, row_number() over (partition by video_id order by quality desc, frame_id) as n from q where kind = 'click') where n <= 24),
-b as (select e1.video_id, e1.ts as t0, e2.ts as t1, e1.quality + e2.quality as q, e1.frame_id as f0, e2.frame_id as f1 from e1 join e2 on e1.video_id = e2.video_id and e2.ts > e1.ts and e2.ts <= e1.ts + 172800 and e2.ts <= e1.ts + 604800),
-k as (select *, row_number() over (partition by video_id order by round(q / 2, 9) desc, t1 - t0, f0, f1) as n from b)
-select video_id, f0 || ',' || f1 as chain, round(q / 2, 6) as quality from k where n <= 20"""
-
-
-def _beam(spark, sf):
-    top = fx.points(spark, sf).agg(F.max("score").alias("top"))
-    ev = [_event(spark, sf, k).crossJoin(F.broadcast(top)).withColumn("quality", F.col("score") / F.col("top")).drop("top") for k in ("view", "click")]
-    return chains.beam(ev, gap=172800.0, span=604800.0)
-
-
-@query(BEAM)
-def B1_beam(spark, sf):
-    return _beam(spark, sf).select("video_id", "chain", r6("quality").alias("quality"))
-
-
-@query(BEAM)
-def J10_event_beam(spark, sf):
-    return B1_beam(spark, sf)
+  from p1 join p2 on p1.video_id = p2.video_id and abs(p1.f_j // 100 - p2.f_i // 100) <= 3 and p2.ts_j > p1.ts_j and p2.ts_j <= p1.ts_j + 172800), c as (select * from j where n = 1)"""
 
 
-@query("select event_id, round(0.42 * (event_id % 10) / 10 + 0.23 * (event_id % 7) / 7 + 0.18 * (event_id % 5) / 5 + 0.07 * (event_id % 3) / 3 + 0.10 * (event_id % 2), 6)::double as score from events")
-def B2_moment_score(spark, sf):
-    i = F.col("event_id")
-    m = fx.table(spark, sf, "events").select("event_id", (i % 10 / 10).alias("quality"), (i % 7 / 7).alias("context"), (i % 5 / 5).alias("consensus"), (i % 3 / 3).alias("global_score"), (i % 2).cast("double").alias("compactness"))
-    return m.select("event_id", r6(chains.moment_score()).alias("score"))
+def _chain_pairs(spark, sf):
+    shot = F.concat(F.lit("v"), "video_id", F.lit("_s"), F.expr("frame_id div 100"))
+    a, b, c = (_event(spark, sf, k).withColumn("shot_id", shot) for k in ("view", "click", "purchase"))
+    return [chains.direct_pairs(a, b, 172800.0), chains.direct_pairs(b, c, 172800.0)]
 
 
-@query(f"{PTS} x as (select *, row_number() over (partition by probe_id order by score desc, frame_id) as n from pr join fr using (video_id) where ts between t0 - 86400 and t0 + 86400) select probe_id, frame_id from x where n = 1")
-def B3_context(spark, sf):
-    """The best frame around each probe."""
-    b = temporal.band(_probes(spark, sf), _frames(spark, sf), 86400.0)
-    return ranking.ranked(b, ["probe_id"], [F.desc("score"), "frame_id"], "n").where("n = 1").select("probe_id", "frame_id")
-
-
-@query(BEAM.replace("select video_id, f0 || ',' || f1 as chain, round(q / 2, 6) as quality from k where n <= 20", ", z as (select video_id, f0 || ',' || f1 as chain, row_number() over (partition by video_id order by round(q / 2, 9) desc, f0 || ',' || f1) as v from k where n <= 20) select video_id, chain from z where v = 1").replace("as n from b)\n,", "as n from b),"))
-def B4_one_per_video(spark, sf):
-    b = ranking.ranked(_beam(spark, sf), ["video_id"], [F.desc(F.round("quality", 9)), "chain"], "v")
-    return b.where("v = 1").select("video_id", "chain")
+@query(f"{CHAINS} select video_id, e0, e1, e2 from c")
+def J9_chain_join(spark, sf):
+    """The shot's number is the last integer of its id."""
+    return chains.chain_join(_chain_pairs(spark, sf), 172800.0).select("video_id", "e0", "e1", "e2")
 
 
-@query()
-def B5_temporal_nms(spark, sf):
-    """Greedy; tested against a loop."""
-    m = fx.points(spark, sf).select("video_id", F.col("event_id").alias("moment_id"), "score", F.col("ts").alias("start_sec"), (F.col("ts") + 86400.0).alias("end_sec"))
-    return chains.temporal_nms(m)
+@query(f"{CHAINS} select video_id, e0, e1, e2, round((s0 / max(s0) over () + s1 / max(s1) over () + s2 / max(s2) over ()) / 3, 6) as score from c")
+def F10_chain_scores(spark, sf):
+    return chains.chain_join(_chain_pairs(spark, sf), 172800.0).select("video_id", "e0", "e1", "e2", r6("score").alias("score"))
 
 
+# Candidates: videos with two frames of label 3 or more; these are anchors, the first bears the answer, a frame of label 7 is the global hit.
 @query()
 def B7_farthest_points(spark, sf):
-    """Greedy; tested against a loop."""
-    p = fx.points(spark, sf).where("kind = 'purchase'").select(F.col("video_id").alias("group_id"), F.col("event_id").alias("frame_id"), "ts")
-    return chains.farthest_points(p, 4)
+    """Anchors, their neighbours, the global hit, then the farthest frames of the window; tested against a loop."""
+    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), "label")
+    f = fx.frames(spark, sf).join(e, "frame_id").select("frame_id", "video_id", "shot_id", F.col("timestamp_sec").alias("ts"), "label")
+    an = ranking.ranked(f.where("label = 3"), ["video_id"], ["ts"], "priority").where("priority <= 2")
+    c = an.groupBy("video_id").agg(F.min("ts").alias("start_sec"), F.max("ts").alias("end_sec"), F.count("*").alias("n")).where("n = 2")
+    c = c.select(F.col("video_id").alias("candidate_id"), "video_id", "start_sec", "end_sec")
+    anchors = an.select(F.col("video_id").alias("candidate_id"), "priority", "frame_id", "shot_id", "ts", F.when(F.col("priority") == 1, "answer").otherwise("anchor").alias("kind"))
+    hit = f.where("label = 7").groupBy("video_id").agg(F.min_by(F.struct("frame_id", "shot_id", "ts"), "ts").alias("h"))
+    hit = hit.select(F.col("video_id").alias("candidate_id"), F.lit(1).alias("priority"), "h.frame_id", "h.shot_id", "h.ts", F.lit("global").alias("kind"))
+    known = anchors.unionByName(hit).join(c.select("candidate_id"), "candidate_id", "left_semi")
+    return chains.evidence_frames(c, known, f.drop("label"), 12, 20.0)
 
 
 @query(f"{PTS} x as (select 1) select probe_id, round(max(score), 6) as best, arg_max(frame_id, struct_pack(a := score, b := -frame_id)) as frame_id from pr join fr using (video_id) where ts between t0 - 86400 and t0 + 86400 group by all")
@@ -190,11 +162,12 @@ def B8_best_near(spark, sf):
     return b.groupBy("probe_id").agg(r6(F.max("score")).alias("best"), F.max_by("frame_id", F.struct("score", -F.col("frame_id"))).alias("frame_id"))
 
 
-@query(f"with {fx.FRAMES_SQL} select a.frame_id, b.frame_id as other_id from frames a join frames b on a.video_id = b.video_id and abs(a.timestamp_sec - b.timestamp_sec) <= 3 and a.frame_id < b.frame_id")
+@query(f"""with {fx.SPARSE_SQL} select a.frame_id, b.frame_id as other_id from sparse a join sparse b on a.video_id = b.video_id and a.frame_id < b.frame_id
+where abs(a.ts - b.ts) <= 3 or ((a.ts is null or b.ts is null) and a.shot_id = b.shot_id) or (a.ts is null and b.ts is null and a.shot_id is null and b.shot_id is null)""")
 def J11_local_moment(spark, sf):
-    f = fx.frames(spark, sf).select("video_id", "frame_id", F.col("timestamp_sec").alias("ts"))
-    p = f.select("video_id", F.col("frame_id").alias("a"), F.col("ts").alias("at"))
-    return temporal.band(p, f, 3.0).where("a < frame_id").select(F.col("a").alias("frame_id"), F.col("frame_id").alias("other_id"))
+    """By time, by shot where one has no time, by video where neither has either."""
+    f = fx.sparse_frames(spark, sf)
+    return fusion.local_moments(f, f, []).where("frame_id < other_id").select("frame_id", "other_id")
 
 
 @query(f"with {fx.FRAMES_SQL}, {fx.DOCS_SQL} select 'semi' as kind, count(*) as n from frames where frame_id in (select frame_id from text_docs where source = 'ocr') union all select 'anti', count(*) from frames where frame_id not in (select frame_id from text_docs where source = 'ocr')")
@@ -204,41 +177,40 @@ def J12_semi_anti(spark, sf):
     return semi.unionByName(f.join(d, "frame_id", "left_anti").agg(F.lit("anti").alias("kind"), F.count("*").alias("n")))
 
 
-@query("select 'b' as model, vec_id as frame_id from embeddings where vec_id % 17 = 0")
+@query("with v as (select 'a' as model, vec_id as frame_id from embeddings where label <> 5 union all select 'b', vec_id from embeddings where label <> 3) select 'a' as model, frame_id from v where model = 'b' and frame_id not in (select frame_id from v where model = 'a') union all select 'b', frame_id from v where model = 'a' and frame_id not in (select frame_id from v where model = 'b')")
 def J13_alignment(spark, sf):
-    from shotline.operators.fusion import aligned
+    """One model lacks the frames of one label, the other those of another."""
+    return fusion.aligned(_lacking(spark, sf))
 
-    v = fx.vectors(spark, sf).where("not (model = 'b' and frame_id % 17 = 0)")
-    return aligned(v.select("model", "frame_id"))
 
+def _lacking(spark, sf):
+    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), "label")
+    a, b = e.where("label <> 5").select(F.lit("a").alias("model"), "frame_id"), e.where("label <> 3").select(F.lit("b").alias("model"), "frame_id")
+    return a.unionByName(b)
 
-@query(f"""{INTERVALS}, mo as (select vec_id as moment_id, vec_id // 50 as video_id, cast((vec_id % 50) * 2 as double) as m_start, cast((vec_id % 50) * 2 as double) + 4 as m_end from embeddings where vec_id % 10 = 0),
+
+@query(f"""{INTERVALS}, mo as (select vec_id as moment_id, vec_id // 50 as video_id, cast((vec_id % 50) * 2 as double) as m_start, cast((vec_id % 50) * 2 as double) + 4 as m_end from embeddings),
 j as (select moment_id, doc_id, row_number() over (partition by moment_id order by abs((start_sec + end_sec) / 2 - (m_start + m_end) / 2), doc_id) as rank from mo join iv using (video_id) where start_sec <= m_end + 2 and end_sec >= m_start - 2) select * from j where rank <= 8""")
 def J14_interval_overlap(spark, sf):
-    return _overlap(fx.frames(spark, sf).where("frame_id % 10 = 0"), spark, sf)
-
-
-def _overlap(f, spark, sf):
-    m = f.select(F.col("frame_id").alias("moment_id"), "video_id", F.col("timestamp_sec").alias("m_start"), (F.col("timestamp_sec") + 4).alias("m_end"))
-    return temporal.overlap(m, temporal.infer_intervals(fx.speech(spark, sf))).select("moment_id", "doc_id", "rank")
-
-
-@query(ORACLE_SQL["J14_interval_overlap"].replace(" where vec_id % 10 = 0", ""))
-def J14_interval_overlap_whole(spark, sf):
     """Every frame is a moment."""
-    return _overlap(fx.frames(spark, sf), spark, sf)
+    m = fx.frames(spark, sf).select(F.col("frame_id").alias("moment_id"), "video_id", F.col("timestamp_sec").alias("m_start"), (F.col("timestamp_sec") + 4).alias("m_end"))
+    return temporal.overlap(m, temporal.infer_intervals(fx.speech(spark, sf))).select("moment_id", "doc_id", "rank")
 
 
-@query(f"with {fx.FRAMES_SQL}, {fx.DOCS_SQL} select shot_id, count(distinct f.frame_id) as n_frames, coalesce(string_agg(d.doc_id::varchar, ' | ' order by d.doc_id), '') as docs from frames f left join text_docs d using (frame_id) group by all")
+@query(f"""{INTERVALS} {MAPPED}, {fx.FRAMES_SQL}, {fx.DOCS_SQL}, a as (select w.frame_id, string_agg(s.text, ' | ' order by s.doc_id) as asr from w join speech s using (doc_id) group by all), o as (select frame_id, string_agg(text, ' | ' order by doc_id) as ocr from text_docs where source = 'ocr' group by all)
+select f.video_id, f.shot_id, f.frame_id, coalesce(md5(asr), '') as asr_md5, coalesce(md5(ocr), '') as ocr_md5, min(frame_index) over (partition by f.shot_id) as start_frame, max(frame_index) over (partition by f.shot_id) as end_frame from frames f left join a using (frame_id) left join o using (frame_id)""")
 def J15_shot_listing(spark, sf):
-    d = fx.text_docs(spark, sf).select("frame_id", "doc_id")
-    j = fx.frames(spark, sf).join(d, "frame_id", "left").groupBy("shot_id")
-    return j.agg(F.countDistinct("frame_id").alias("n_frames"), F.array_join(F.array_sort(F.collect_list("doc_id")), " | ").alias("docs"))
+    """Frames of shots with the speech mapped to them and the text on screen, joined in order (as digests)."""
+    sp, d = fx.speech(spark, sf), fx.text_docs(spark, sf).where("source = 'ocr'").select("frame_id", "doc_id", "text")
+    heard = temporal.map_intervals(temporal.infer_intervals(sp), _video_frames(spark, sf)).select("frame_id", "doc_id").join(sp.select("doc_id", "text"), "doc_id")
+    out = temporal.shot_listing(fx.frames(spark, sf), heard, d)
+    digest = lambda c: F.when(F.col(c) == "", "").otherwise(F.md5(c)).alias(f"{c}_md5")
+    return out.select("video_id", "shot_id", "frame_id", digest("asr"), digest("ocr"), "start_frame", "end_frame")
 
 
 SIM = f"""with {fx.FRAMES_SQL}, q as (select embedding::double[] as q from embeddings where vec_id = 0),
 fs as (select frame_id, video_id, shot_id, timestamp_sec as ts, row_number() over (partition by video_id order by frame_index, frame_id) - 1 as pos, round(list_inner_product(embedding::double[], q) / (sqrt(list_inner_product(embedding::double[], embedding::double[])) * sqrt(list_inner_product(q, q))), 6) as sim from frames, q),
-seeds as (select frame_id as seed_id, video_id, shot_id, pos as seed_pos from fs where frame_id % 25 = 12)"""
+seeds as (select frame_id as seed_id, video_id, shot_id, pos as seed_pos from fs)"""
 SCAN = """, w{d} as (select seed_id, s.video_id, s.shot_id, seed_pos, {s} * (pos - seed_pos) as step, sim from seeds s join fs on s.video_id = fs.video_id and s.shot_id = fs.shot_id where {s} * (pos - seed_pos) >= 0),
 r{d} as (select *, coalesce(sim >= max(sim) over (partition by seed_id order by step rows between unbounded preceding and 1 preceding), true) as rec from w{d}),
 l{d} as (select *, max(case when rec then step end) over (partition by seed_id order by step) as last from r{d}),
@@ -252,34 +224,22 @@ def _similar(spark, sf):
     return vector.positions(fx.frames(spark, sf)).join(sim, "frame_id").withColumnRenamed("timestamp_sec", "ts")
 
 
-def _seeds(f, which="frame_id % 25 = 12"):
-    return f.where(which).select(F.col("frame_id").alias("seed_id"), "video_id", "shot_id", "pos")
+def _seeds(f):
+    return f.select(F.col("frame_id").alias("seed_id"), "video_id", "shot_id", "pos")
 
 
 @query(f"{SIM} {SCAN.format(d='f', s='1')} select seed_id, edge as end_pos from ef")
 def W3_forward_scan(spark, sf):
-    f = _similar(spark, sf)
-    return temporal.forward_ends(f, _seeds(f)).select("seed_id", F.col("end_pos").cast("long"))
-
-
-@query(ORACLE_SQL["W3_forward_scan"].replace(" where frame_id % 25 = 12", ""))
-def W3_forward_scan_whole(spark, sf):
     """Every frame is a seed."""
     f = _similar(spark, sf)
-    return temporal.forward_ends(f, _seeds(f, "true")).select("seed_id", F.col("end_pos").cast("long"))
+    return temporal.forward_ends(f, _seeds(f)).select("seed_id", F.col("end_pos").cast("long"))
 
 
 @query(f"{SIM} {SCAN.format(d='b', s='-1')} select seed_id, edge as start_pos from eb")
 def W4_backward_scan(spark, sf):
-    f = _similar(spark, sf)
-    return temporal.backward_starts(f, _seeds(f)).select("seed_id", F.col("start_pos").cast("long"))
-
-
-@query(ORACLE_SQL["W4_backward_scan"].replace(" where frame_id % 25 = 12", ""))
-def W4_backward_scan_whole(spark, sf):
     """Every frame is a seed."""
     f = _similar(spark, sf)
-    return temporal.backward_starts(f, _seeds(f, "true")).select("seed_id", F.col("start_pos").cast("long"))
+    return temporal.backward_starts(f, _seeds(f)).select("seed_id", F.col("start_pos").cast("long"))
 
 
 SEG = f"""{SIM}, s as (select video_id, shot_id, pos as start_pos, pos + 1 as end_pos, pos as centre from fs where sim > 0.1),
@@ -315,21 +275,30 @@ def W8_representative(spark, sf):
     return f.join(m, "shot_id").select("frame_id", "representative_id")
 
 
-@query("with c as (select user_id as video_id, event_id % 300 as frame from events where value > 100), b as (select distinct * from c where frame between 0 and 298 union select distinct video_id, 299 from c) select video_id, coalesce(lag(frame) over (partition by video_id order by frame) + 1, 0) as start_frame, frame as end_frame, round(frame / 25.0::double, 6) as end_sec from b")
+CUT_SCORES = "scores as (select user_id as video_id, event_id % 300 as frame, least(1.0, value / 200) as score from events)"
+
+
+def _cut_scores(spark, sf):
+    return fx.table(spark, sf, "events").select(F.col("user_id").alias("video_id"), (F.col("event_id") % 300).alias("frame"), F.least(F.lit(1.0), F.col("value") / 200).alias("score"))
+
+
+@query(f"with {CUT_SCORES}, c as (select video_id, frame from scores where score >= 0.5), b as (select distinct * from c where frame between 0 and 298 union select distinct video_id, 299 from c) select video_id, coalesce(lag(frame) over (partition by video_id order by frame) + 1, 0) as start_frame, frame as end_frame, round(frame / 25.0::double, 6) as end_sec from b")
 def W9_shots(spark, sf):
-    """Cut scores above a threshold (W10) are boundaries."""
-    cuts = fx.table(spark, sf, "events").where("value > 100").select(F.col("user_id").alias("video_id"), (F.col("event_id") % 300).alias("frame"))
-    return temporal.shots_from_cuts(cuts, 300, 25.0).select("video_id", "start_frame", "end_frame", r6("end_sec").alias("end_sec"))
+    """Frames whose cut score reaches the threshold (W10) are boundaries."""
+    return temporal.shots_from_cuts(temporal.cut_frames(_cut_scores(spark, sf)), 300, 25.0).select("video_id", "start_frame", "end_frame", r6("end_sec").alias("end_sec"))
 
 
-@query("select vec_id as frame_id from embeddings where embedding[1] >= 0.5::float")
+@query(f"with {CUT_SCORES} select video_id, frame from scores where score >= 0.5")
 def W10_cut_threshold(spark, sf):
-    return fx.table(spark, sf, "embeddings").where(F.col("embedding")[0] >= F.lit(0.5).cast("float")).select(F.col("vec_id").alias("frame_id"))
+    return temporal.cut_frames(_cut_scores(spark, sf))
 
 
-@query("select s as start, s + 100 as stop from range(0, 1000, 50) t(s)")
+@query("""with v as (select user_id as video_id, count(*) as n from events group by all), p as (select video_id, n, list_concat(list_concat(list_transform(range(25), lambda i: 0), range(n)), list_transform(range(25 + 50 - case when n % 50 = 0 then 50 else n % 50 end), lambda i: n - 1)) as padded from v),
+w as (select video_id, n, padded, unnest(range(0, (len(padded) - 100) // 50 + 1)) as w from p) select video_id, w as window, padded[w * 50 + 1] as first_frame, padded[w * 50 + 100] as last_frame, padded[w * 50 + 26] as keep_from, padded[w * 50 + 75] as keep_to from w""")
 def W11_model_windows(spark, sf):
-    return spark.createDataFrame(temporal.model_windows(1000), "start long, stop long")
+    """A video has as many frames as its user has events."""
+    v = fx.table(spark, sf, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.count("*").alias("n_frames"))
+    return temporal.model_windows(v).select("video_id", "window", *[F.col(c).cast("long").alias(c) for c in ("first_frame", "last_frame", "keep_from", "keep_to")])
 
 
 @query("with s as (select o_orderkey as shot_id, o_orderkey % 100 as a, o_orderkey % 100 + o_custkey % 50 as b from orders), p as (select unnest([0.0, 0.25, 0.5, 0.75, 1.0]::double[]) as p), x as (select shot_id, a + round_even((b - a) * p, 0)::bigint as frame_index from s, p) select distinct shot_id, frame_index from x")
@@ -338,9 +307,11 @@ def W12_sampling(spark, sf):
     return temporal.sample_indices(s, [0.0, 0.25, 0.5, 0.75, 1.0]).select("shot_id", "frame_index")
 
 
-@query()
+@query(f"""with recursive {fx.SPEECH_SQL}, s as (select video_id, row_number() over (partition by video_id order by start_sec, doc_id) as i, len(regexp_extract_all(text, '[^ \\t-\\r]+')) as w from speech),
+walk as (select video_id, i, 0 as chunk, w as used, w from s where i = 1 union all select s.video_id, s.i, case when walk.used + s.w <= 60 then chunk else chunk + 1 end, case when walk.used + s.w <= 60 then walk.used + s.w else s.w end, s.w from walk join s on s.video_id = walk.video_id and s.i = walk.i + 1)
+select video_id, chunk::bigint as chunk, sum(w)::bigint as n_words, count(*) as n_segments from walk group by all""")
 def W13_word_chunks(spark, sf):
-    """A resetting sum; tested against a loop."""
+    """A resetting sum: a fold over the segments of a video; tested against a loop."""
     return temporal.word_chunks(fx.speech(spark, sf), 60)
 
 

@@ -1,4 +1,4 @@
-"""All queries of the retrieval engine by name, and their SQL."""
+"""Where queries register, and their SQL; `catalog` has them all."""
 
 from __future__ import annotations
 
@@ -6,12 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotline.sources import fixtures as fx
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-FEW = "(0, 7, 42)"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -24,29 +21,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-from shotline.plans import evaluation, ingestion, joins, retrieval, scalars  # noqa: E402, F401
-
-
-def _every(f: Query) -> Query:
-    def run(spark, sf):
-        with fx.every_query():
-            return f(spark, sf)
-
-    return run
-
-
-# The searches over all queries beside those over a few; L1 asks for one query by its id.
-# F8's is the one with all evidence.
-for _name in [n for n, s in ORACLE_SQL.items() if fx.QUERIES_SQL in s and n not in ("L1_topk", "F8_evidence_rerank")]:
-    _new = f"{_name.removesuffix('_whole')}_whole"
-    QUERIES[_new] = _every(QUERIES[_name])
-    ORACLE_SQL[_new] = ORACLE_SQL[_name].replace(f"id in {FEW}", f"id % {fx.QUERY_STEP} = 0")
-# F4 divides by the number of queries, which its SQL writes as 3.
-ORACLE_SQL["F4_two_stage_whole"] = ORACLE_SQL["F4_two_stage_whole"].replace("sum(x) / 3", "sum(x) / (select count(distinct query_id) from queries)")
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text-to-frame search: vector top-k by two models, fused, hydrated, the best twenty."""
-    return retrieval.entry_search(spark, sf_dir)

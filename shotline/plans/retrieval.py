@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotline.functions.scalar import squeezed
+from shotline.functions import language as lang
+from shotline.functions import scalar as x
 from shotline.operators import fusion, ranking, text, vector
 from shotline.plans.registry import query
 from shotline.sources import fixtures as fx
@@ -71,7 +71,8 @@ def V4_branch_search(spark, sf):
 @query(f"{HEAD} {SCORED} select query_id, model, round(score, 4) as sub_score from scored where frame_id = 11")
 def V5_sub_score(spark, sf):
     v = vector.lookup(fx.vectors(spark, sf), 11, "a").unionByName(vector.lookup(fx.vectors(spark, sf), 11, "b"))
-    return vector.scored(v, fx.queries(spark, sf)).select("query_id", "model", F.round("score", 4).alias("sub_score"))
+    one = F.broadcast(v.withColumnRenamed("embedding", "e"))  # a frame's two vectors
+    return fx.queries(spark, sf).join(one, "model").select("query_id", "model", F.round(vector.cosine("e", "q"), 4).alias("sub_score"))
 
 
 @query(f"{HEAD} {SCORED} select query_id, model, count(*) as n from ranked where rank <= 100 group by all")
@@ -95,6 +96,19 @@ def S6_positions(spark, sf):
     return vector.positions(fx.frames(spark, sf)).select("frame_id", "video_id", F.col("pos").cast("long").alias("pos"))
 
 
+@query(f"{HEAD} {SCORED} select query_id, model, frame_id, rank from ranked")
+def W1_ranks(spark, sf):
+    """Every frame's rank in its branch, ties by id."""
+    return ranking.ranked(_scored(spark, sf), ["query_id", "model"], [F.desc("score"), "frame_id"]).select("query_id", "model", "frame_id", "rank")
+
+
+@query(f"{HEAD} {SCORED} select query_id, model, frame_id, round(case when max(score) over w - min(score) over w <= 1e-9 then 0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end, 6) as spread, round(case when max(score) over w > 0 then score / max(score) over w else score end, 6) as share from hits window w as (partition by query_id, model)")
+def W2_normalise(spark, sf):
+    """Scores of a branch over 0..1, and as shares of its best."""
+    by = ["query_id", "model"]
+    return _hits(spark, sf).select(*by, "frame_id", r6(ranking.min_max("score", by)).alias("spread"), r6(ranking.max_normalised("score", by)).alias("share"))
+
+
 @query(f"{HEAD} {SCORED}, {SRRF} select query_id, frame_id, round(fused, 6) as score from srrf")
 def F1_srrf(spark, sf):
     return _fused(spark, sf).select("query_id", "frame_id", r6("score").alias("score"))
@@ -104,7 +118,7 @@ def F1_srrf(spark, sf):
 w as (select query_id, frame_id, sum(x * case model when 'a' then 0.75 else 0.25 end) as score from n group by all)
 select query_id, frame_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, frame_id) as rank from w) where rank <= 25""")
 def F2_wsf(spark, sf):
-    out = fusion.wsf(_scored(spark, sf), ["query_id"], {"a": 3.0, "b": 1.0}, 25)
+    out = fusion.wsf(_scored(spark, sf), ["query_id"], ["a", "b"], {"a": 3.0}, 25)
     return out.select("query_id", "frame_id", "rank", r6("score").alias("score"))
 
 
@@ -113,12 +127,13 @@ def F3_weighted_sum(spark, sf):
     return fusion.weighted_sum(_scored(spark, sf), ["query_id"], "model").select("query_id", "frame_id", r6("score").alias("score"))
 
 
-@query(f"""{HEAD} {SCORED}, g as (select * from ranked where model = 'a' and rank <= 40), pool as (select frame_id from (select frame_id, sum(x) / 3 as s from
+@query(f"""{HEAD} {SCORED}, nq as (select count(distinct query_id) as n from queries), g as (select * from ranked where model = 'a' and rank <= 40), pool as (select frame_id from (select frame_id, sum(x) / any_value(n) as s from nq,
   (select *, score / case when max(score) over (partition by query_id) <= 1e-12 then 1 else max(score) over (partition by query_id) end as x from g) group by all) order by round(s, 9) desc, frame_id limit 30),
 sp as (select s.* from scored s join pool using (frame_id) where model = 'b'),
-f as (select frame_id, sum(x) / 3 as s from (select *, score / case when max(score) over (partition by query_id) <= 1e-12 then 1 else max(score) over (partition by query_id) end as x from sp) group by all)
+f as (select frame_id, sum(x) / any_value(n) as s from nq, (select *, score / case when max(score) over (partition by query_id) <= 1e-12 then 1 else max(score) over (partition by query_id) end as x from sp) group by all)
 select frame_id, round(s, 6) as score from f order by round(s, 9) desc, frame_id limit 10""")
 def F4_two_stage(spark, sf):
+    """Every query is a sub-query: general ones by model a, specific ones by model b."""
     one = F.lit(1).alias("one")
     general = _hits(spark, sf, 40).where("model = 'a'").select(one, F.col("query_id").alias("branch"), "frame_id", "score")
     specific = _scored(spark, sf).where("model = 'b'").select(one, F.col("query_id").alias("branch"), "frame_id", "score")
@@ -142,28 +157,6 @@ def F7_max_normalise(spark, sf):
     return r.select("query_id", "frame_id", r6("n").alias("score"))
 
 
-@query(f"""{HEAD} {SCORED}, {SRRF} {RANKED}, ev as (select query_id, frame_id, (doc_id % 10) / 10.0::double as aux, (doc_id % 5) / 5.0::double as quality from documents, (select distinct query_id from queries) where doc_id < 500),
-e as (select query_id, doc as frame_id, max(aux * quality) as best, sum(aux) as s, count(*) as n from (select query_id, d.doc_id % 100 as doc, (d.doc_id % 10) / 10.0::double as aux, (d.doc_id % 5) / 5.0::double as quality from documents d, (select distinct query_id from queries) where d.doc_id < 500) group by all),
-n as (select r.*, rank <= 30 as head, case when rank <= 30 then score + coalesce(0.20 * best + 0.02 * least(1.0, n / 3.0::double) * s, 0) else score end as new from r left join e using (query_id, frame_id))
-select query_id, frame_id, row_number() over (partition by query_id order by head desc, case when head then -round(new, 9) else 0 end, rank) as place, round(new / max(new) over (partition by query_id), 6) as score from n""".replace("ev as (select query_id, frame_id, (doc_id % 10) / 10.0::double as aux, (doc_id % 5) / 5.0::double as quality from documents, (select distinct query_id from queries) where doc_id < 500),\n", ""))
-def F8_evidence_rerank(spark, sf):
-    d = fx.table(spark, sf, "documents").where("doc_id < 500").select((F.col("doc_id") % 100).alias("frame_id"), ((F.col("doc_id") % 10) / 10).alias("aux"), ((F.col("doc_id") % 5) / 5).alias("quality"))
-    ev = d.crossJoin(F.broadcast(fx.queries(spark, sf).select("query_id").distinct()))
-    out = fusion.evidence_rerank(_ranked(spark, sf).select("query_id", "frame_id", "rank", "score"), ev, ["query_id"])
-    return out.select("query_id", "frame_id", "place", r6("score").alias("score"))
-
-
-@query(f"""{HEAD} {SCORED}, {SRRF} {RANKED}, {fx.DOCS_SQL}, e as (select query_id, frame_id, max((doc_id % 10) / 10.0::double * ((doc_id % 5) / 5.0::double)) as best, sum((doc_id % 10) / 10.0::double) as s, count(*) as n from text_docs, (select distinct query_id from queries) group by all),
-n as (select r.*, rank <= 30 as head, case when rank <= 30 then score + coalesce(0.20 * best + 0.02 * least(1.0, n / 3.0::double) * s, 0) else score end as new from r left join e using (query_id, frame_id))
-select query_id, frame_id, row_number() over (partition by query_id order by head desc, case when head then -round(new, 9) else 0 end, rank) as place, round(new / max(new) over (partition by query_id), 6) as score from n""")
-def F8_evidence_rerank_whole(spark, sf):
-    """All documents are evidence, each of its frame."""
-    d = fx.text_docs(spark, sf).select("frame_id", ((F.col("doc_id") % 10) / 10).alias("aux"), ((F.col("doc_id") % 5) / 5).alias("quality"))
-    ev = d.crossJoin(F.broadcast(fx.queries(spark, sf).select("query_id").distinct()))
-    out = fusion.evidence_rerank(_ranked(spark, sf).select("query_id", "frame_id", "rank", "score"), ev, ["query_id"])
-    return out.select("query_id", "frame_id", "place", r6("score").alias("score"))
-
-
 @query("select event_id, round((x + 0.3 * o / greatest(20.0, 15.0) + 0.3 * a / greatest(10.0, 15.0)) / 1.6::double, 6) as score from (select event_id, (event_id % 100) / 100.0::double as x, (event_id % 20)::double as o, coalesce(case when event_id % 3 = 0 then null else (event_id % 10)::double end, 0) as a from events)")
 def F9_window_bonus(spark, sf):
     e = fx.table(spark, sf, "events")
@@ -186,25 +179,41 @@ def F12_rerank_head(spark, sf):
     return head.select("query_id", "frame_id", "place").unionByName(r.where("rank > 50").select("query_id", "frame_id", F.col("rank").alias("place")))
 
 
-@query("select event_id, case when event_id % 2 = 1 and c <= 0 then 0.5 else c end as confidence from (select event_id, least(1.0, greatest(0.0, (event_id % 5 - 1) / 2.0::double)) as c from events)")
+@query(f"select event_id, case when event_type in ('view', 'error') and c <= 0 then least(1, greatest(0.5, 2 * b)) else c end::double as confidence from (select *, least(1.0, greatest(0.0, (value - 10) / 100)) as c, {fx.K_SQL} / 100 as b from events)")
 def F13_modality_confidence(spark, sf):
+    """Keywords come with two kinds of events; the bonus is the JSON's k / 100."""
     e = fx.table(spark, sf, "events")
-    words = F.when(F.col("event_id") % 2 == 1, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
-    return e.select("event_id", fusion.modality_confidence((F.col("event_id") % 5 - 1) / 2, words).alias("confidence"))
+    words = F.when(F.col("event_type").isin("view", "error"), F.array("event_type")).otherwise(F.array().cast("array<string>"))
+    return e.select("event_id", fusion.modality_confidence((F.col("value") - 10) / 100, words, fx.k_of("props") / 100).alias("confidence"))
+
+
+UNION = f"""{fx.SPARSE_SQL}, hs as (select *, count(*) over (partition by query_id, model) as size from hits), h as (select query_id, model, f.*, case when size <= 1 then 1.0::double else greatest(0, 1 - (rank - 1) / size) end as rs from hs join sparse f using (frame_id)),
+bs as (select query_id, frame_id, video_id, shot_id, ts, max(rs) as best from h group by all),
+near as (select b.query_id, b.frame_id, h.model, max(h.rs) as m from bs b join h on b.query_id = h.query_id and b.video_id = h.video_id
+  and (abs(b.ts - h.ts) <= 3 or ((b.ts is null or h.ts is null) and (b.shot_id = h.shot_id or (b.ts is null and h.ts is null and b.shot_id is null and h.shot_id is null)))) group by all),
+un as (select b.*, least(1, s / 3) as consensus, 0.8 * best + 0.2 * least(1, s / 3) as score from bs b join (select query_id, frame_id, sum(m) as s from near group by all) using (query_id, frame_id)),
+uk as (select *, row_number() over (partition by query_id order by round(score, 9) desc, frame_id) as rank from un)"""
 
 
-@query(f"""{HEAD} {SCORED}, h as (select hits.*, f.video_id, f.shot_id, greatest(0, 1 - (rank - 1) / 100.0::double) as rs from hits join frames f using (frame_id)), nb as (select query_id, count(distinct model) as nb from h group by all),
-m as (select query_id, video_id, shot_id, sum(m) as m from (select query_id, video_id, shot_id, model, max(rs) as m from h group by all) group by all)
-select query_id, frame_id, round(0.8 * max(rs) + 0.2 * any_value(m.m) / any_value(nb.nb), 6) as score from h join m using (query_id, video_id, shot_id) join nb using (query_id) group by query_id, frame_id""")
+def _union(spark, sf):
+    """Branches' hits as one list with consensus; a third branch was asked for and found nothing."""
+    h = _hits(spark, sf).join(fx.sparse_frames(spark, sf), "frame_id")
+    u = fusion.consensus(h, ["query_id"], 3)
+    return ranking.ranked(u, ["query_id"], [F.desc(F.round("score", 9)), "frame_id"]).withColumnRenamed("ts", "timestamp_sec")
+
+
+@query(f"{HEAD} {SCORED}, {UNION} select query_id, frame_id, rank, round(consensus, 6) as consensus, round(score, 6) as score from uk")
 def F14_consensus(spark, sf):
-    h = _hits(spark, sf).join(fx.frames(spark, sf), "frame_id")
-    return fusion.consensus(h, ["query_id"], 100).select("query_id", "frame_id", r6("score").alias("score"))
+    return _union(spark, sf).select("query_id", "frame_id", "rank", r6("consensus").alias("consensus"), r6("score").alias("score"))
 
 
-@query(f"{HEAD} {SCORED}, {SRRF} {RANKED}, u as (select query_id, frame_id, score from r union all select query_id, frame_id, 0.2 * greatest(0, 1 - (rank - 1) / 100.0::double) from hits where model = 'b') select query_id, frame_id, round(sum(score), 6) as score from u group by all")
+@query(f"""{HEAD} {SCORED}, {SRRF} {RANKED}, v as (select query_id, frame_id, case when n <= 1 then 1.0::double else greatest(0, 1 - (rank - 1) / n) end as s, 1 as vis from (select *, count(*) over (partition by query_id) as n from r)),
+a as (select query_id, frame_id, 0.2 * case when n <= 1 then 1.0::double else greatest(0, 1 - (rank - 1) / n) end as s, 0 as vis from (select *, count(*) over (partition by query_id, model) as n from hits where rank <= 60))
+select query_id, frame_id, round(sum(s), 6) as score, max(vis) = 1 as is_visual from (select * from v union all select * from a) group by all""")
 def F15_auxiliary_merge(spark, sf):
-    aux = _hits(spark, sf).where("model = 'b'")
-    return fusion.auxiliary_merge(_ranked(spark, sf), aux, ["query_id"], 100).select("query_id", "frame_id", r6("score").alias("score"))
+    """The fused list, with the first sixty of each model as further lists."""
+    aux = _hits(spark, sf, 60).withColumnRenamed("model", "source")
+    return fusion.auxiliary_merge(_ranked(spark, sf), aux, ["query_id"]).select("query_id", "frame_id", r6("score").alias("score"), "is_visual")
 
 
 @query("select event_id, round(0.35 * rs + 0.65 * c, 6) as score from (select event_id, (event_id % 100) / 100.0::double as rs, (event_id % 37) / 36.0::double as c from events) where c >= 0.65")
@@ -213,9 +222,10 @@ def F16_final_score(spark, sf):
     return e.where("c >= 0.65").select("event_id", r6(0.35 * F.col("rs") + 0.65 * F.col("c")).alias("score"))
 
 
-@query(f"{HEAD} {SCORED} select frame_id from hits where query_id = 7 order by round(score, 9) desc, frame_id, model limit 15")
+@query(f"{HEAD} {SCORED} select query_id, frame_id, place from (select query_id, frame_id, row_number() over (partition by query_id order by round(score, 9) desc, frame_id, model) as place from hits) where place <= 15")
 def L1_topk(spark, sf):
-    return _hits(spark, sf).where("query_id = 7").orderBy(F.desc(F.round("score", 9)), "frame_id", "model").limit(15).select("frame_id")
+    top = ranking.ranked(_hits(spark, sf), ["query_id"], [F.desc(F.round("score", 9)), "frame_id", "model"], "place")
+    return top.where("place <= 15").select("query_id", "frame_id", "place")
 
 
 @query(f"{HEAD} {SCORED}, {SRRF} {RANKED}, d as (select *, row_number() over (partition by query_id, shot_id order by rank) > 2 as later from r) select * from (select query_id, frame_id, row_number() over (partition by query_id order by later, rank) as place from d) where place <= 20")
@@ -223,15 +233,29 @@ def L2_shot_diversity(spark, sf):
     return ranking.diversify(_ranked(spark, sf), ["query_id"], "shot_id", 2, 20).select("query_id", "frame_id", "place")
 
 
-@query(f"{HEAD} {SCORED}, {SRRF} {RANKED}, d as (select *, row_number() over (partition by query_id, video_id, shot_id, floor(timestamp_sec / 2) order by rank) > 1 as again from r) select * from (select query_id, video_id, frame_id, row_number() over (partition by query_id, video_id order by again, rank) as place from d) where place <= 3")
+RESERVES = """ra as (select query_id, video_id, 'a' as model, arg_min(frame_id, rank) as frame_id from hits join sparse using (frame_id) where model = 'a' group by query_id, video_id),
+rb as (select h.query_id, s.video_id, 'b' as model, arg_min(h.frame_id, h.rank) as frame_id from hits h join sparse s on s.frame_id = h.frame_id left join ra on ra.query_id = h.query_id and ra.video_id = s.video_id
+  where h.model = 'b' and (ra.frame_id is null or ra.frame_id <> h.frame_id) group by h.query_id, s.video_id), reserves as (select * from ra union all select * from rb)"""
+MOMENT = "case when ts is not null then 't' || coalesce(shot_id::varchar, '?') || ':' || floor(ts / 2)::bigint when shot_id is not null then 's' || shot_id else 'f' || frame_id end"
+
+
+@query(f"""{HEAD} {SCORED}, {UNION}, {RESERVES}, d as (select u.*, {MOMENT} as moment, v.frame_id is not null as res from uk u left join (select distinct query_id, frame_id from reserves) v using (query_id, frame_id)),
+k as (select *, res and row_number() over (partition by query_id, video_id order by res desc, rank) <= 3 as kept from d), c as (select *, bool_or(kept) over (partition by query_id, video_id, moment) as shown from k),
+f as (select *, case when kept then 0 when not shown and rank = min(rank) over (partition by query_id, video_id, moment) then 1 else 2 end as class from c)
+select * from (select query_id, video_id, frame_id, row_number() over (partition by query_id, video_id order by class, rank) as place from f) where place <= 3""")
 def L3_video_cap(spark, sf):
-    return ranking.cap_per_video(_ranked(spark, sf), ["query_id"], 3).select("query_id", "video_id", "frame_id", "place")
+    """Three of a video: reserved frames, first frames of other moments, the rest."""
+    out = ranking.cap_per_video(_union(spark, sf), ["query_id"], 3, _reserves(spark, sf))
+    return out.select("query_id", "video_id", "frame_id", "place")
+
+
+def _reserves(spark, sf):
+    return ranking.branch_reserves(_hits(spark, sf).join(fx.sparse_frames(spark, sf), "frame_id"), ["query_id"], ["a", "b"])
 
 
-@query(f"{HEAD} {SCORED} select query_id, model, video_id, frame_id from (select hits.query_id, model, frame_id, video_id, row_number() over (partition by hits.query_id, model, video_id order by rank) as n from hits join frames using (frame_id)) where n = 1")
+@query(f"{HEAD} {SCORED}, {fx.SPARSE_SQL}, {RESERVES} select query_id, model, video_id, frame_id from reserves")
 def L4_branch_reserves(spark, sf):
-    h = _hits(spark, sf).join(fx.frames(spark, sf), "frame_id")
-    return ranking.ranked(h, ["query_id", "model", "video_id"], ["rank"], "n").where("n = 1").select("query_id", "model", "video_id", "frame_id")
+    return _reserves(spark, sf).select("query_id", "model", "video_id", "frame_id")
 
 
 @query(f"{HEAD} {SCORED}, {SRRF} {RANKED}, d as (select *, row_number() over (partition by query_id, video_id, shot_id, floor(timestamp_sec / 2) order by rank) as n from r) select * from (select query_id, video_id, frame_id, row_number() over (partition by query_id, video_id order by rank) as place from d where n = 1) where place <= 4")
@@ -239,110 +263,178 @@ def L5_witnesses(spark, sf):
     return ranking.witnesses(_ranked(spark, sf), ["query_id"]).select("query_id", "video_id", "frame_id", "place")
 
 
-@query(f"{HEAD} {SCORED}, {SRRF} {RANKED}, d as (select *, row_number() over (partition by query_id, video_id order by rank) as n from r) select query_id, video_id, frame_id, row_number() over (partition by query_id order by n > 1, rank) as place from d")
-def L7_display_list(spark, sf):
-    """One row of each video first, then the others by rank."""
-    r = ranking.ranked(_ranked(spark, sf), ["query_id", "video_id"], ["rank"], "n")
-    return ranking.ranked(r, ["query_id"], [F.col("n") > 1, "rank"], "place").select("query_id", "video_id", "frame_id", "place")
-
-
 @query(f"{HEAD} {SCORED}, {SRRF} {RANKED} select query_id, video_id, min(rank) as first_rank, count(*) as n_hits from r group by all")
 def A11_video_trace(spark, sf):
     return ranking.first_per_video(_ranked(spark, sf), ["query_id"])
 
 
-TOK = """tok as (select doc_id, source, frame_id, text, list_filter(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿăđĩũơư', 'aaaaaaceeeeiiiinoooooouuuuyyadiuou'), '[\\p{L}\\p{N}_]+'),
-  lambda t: not list_contains(['a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'if', 'in', 'into', 'is', 'it', 'no', 'not', 'of', 'on', 'or', 'such', 'that', 'the', 'their', 'then', 'there', 'these', 'they', 'this', 'to', 'was', 'will', 'with'], t)) as ts from text_docs)"""
-BM = """st as (select count(*) as n, avg(len(ts)) as avg_dl from tok), t as (select unnest(['from', 'he', 'la']) as term),
-tf as (select doc_id, term, len(ts) as dl, len(list_filter(ts, lambda x: x = term)) as tf from tok, t), df as (select term, count(*) as df from tf where tf > 0 group by all),
-bm as (select doc_id, term, tf, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::double / (tf + 1.2::double * (0.25 + 0.75 * dl / avg_dl)) as score from tf join df using (term), st where tf > 0)"""
+PLAIN = "replace(replace(replace(replace(strip_accents(lower(replace(replace(text, 'đ', 'd'), 'Đ', 'D'))), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o')"
+TOK = f"tok as (select doc_id, source, frame_id, text, list_filter(regexp_extract_all({PLAIN}, '[\\p{{L}}\\p{{N}}_]+'), lambda t: not list_contains({list(x.STOP)}, t)) as ts from text_docs)"
 
 
-@query(f"with {fx.DOCS_SQL}, {TOK}, {BM} select doc_id, term, tf, round(score, 5) as score from bm")
-def T1_bm25(spark, sf):
-    return text.bm25(fx.text_docs(spark, sf), ["from", "he", "la"]).select("doc_id", "term", F.col("tf").cast("long"), F.round("score", 5).alias("score"))
+def _search_sql(requests: list[str]) -> str:
+    """Scores of requests from the clauses' definition, over plain rows: (doc_id, keyword, score) as `hits`, term parts as `bm`."""
+    words = text.request_terms(requests)
+    terms = list(dict.fromkeys(w for r in words for w in r))
+    values = ", ".join(f"('{t}', {text.edits(t)})" for t in terms)
+    asked = ", ".join(f"('{r}', '{w}')" for r, ws in zip(requests, words, strict=True) for w in ws)
+    phrases = " union all ".join(f"select doc_id, '{r}' as keyword, len(list_filter(range(1, len(ts) - {len(ws) - 2}), lambda i: ts[i:i + {len(ws) - 1}] = {ws})) as pf from tok" for r, ws in zip(requests, words, strict=True))
+    return f"""st as (select count(*) as n, avg(len(ts)) as avg_dl from tok), t as (select * from (values {values}) v(term, k)), asked as (select * from (values {asked}) v(keyword, term)),
+tk as (select doc_id, len(ts) as dl, unnest(ts) as token from tok), tc as (select doc_id, dl, token, count(*) as tf from tk group by all),
+nr as (select doc_id, dl, term, token, tf, levenshtein(token, term) as d from tc, t where abs(length(token) - length(term)) <= k and (token = term or (k > 0 and levenshtein(token, term) <= k))),
+df as (select term, count(distinct doc_id) filter (token = term) as df, count(distinct doc_id) as dfn from nr group by all), sat as (select nr.*, tf * 2.2::double / (tf + 1.2::double * (0.25 + 0.75 * dl / avg_dl)) as s, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf, ln(1 + (n - dfn + 0.5) / (dfn + 0.5)) as idfn from nr join df using (term), st),
+bm as (select doc_id, term, tf, idf * s as score from sat where token = term), fz as (select doc_id, term, idfn * sum((1 - d / least(length(token), length(term))::double) * s) as score from sat group by doc_id, term, idfn),
+own as (select distinct keyword, term from asked), ph as ({phrases}),
+rare as (select keyword, sum(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5))) as rare from asked left join df using (term), st group by all),
+ex as (select keyword, doc_id, sum(score) as exact, count(*) as held from own join bm using (term) group by all), fu as (select keyword, doc_id, sum(score) as fuzzy from own join fz using (term) group by all), nt as (select keyword, count(*) as nt from own group by all),
+hits_t as (select doc_id, keyword, coalesce(case when pf > 0 then 8 * rare * (pf * 2.2::double / (pf + 1.2::double * (0.25 + 0.75 * len(ts) / avg_dl))) end, 0) + coalesce(case when held = nt then 5 * exact end, 0) + coalesce(case when held >= greatest(1, floor(0.6 * nt)) then 3 * exact end, 0) + 2 * coalesce(fuzzy, 0) as score
+  from ph join nt using (keyword) join rare using (keyword) join tok using (doc_id) left join ex using (keyword, doc_id) left join fu using (keyword, doc_id), st)"""
+
+
+WORDS3 = "from he la"
+SEARCH = f"with {fx.DOCS_SQL}, {fx.FRAMES_SQL}, {TOK}, {_search_sql([WORDS3])}, hits as (select doc_id, score from hits_t where score > 0)"
 
 
-SEARCH = f"""with {fx.DOCS_SQL}, {fx.FRAMES_SQL}, {TOK}, {BM}, b as (select doc_id, sum(score) as bm25 from bm group by all),
-c as (select doc_id, case when contains(' ' || array_to_string(ts, ' ') || ' ', ' from he la ') then 8 else 0 end + case when len(list_intersect(ts, ['from', 'he', 'la'])) = 3 then 5 else 0 end
-  + case when len(list_intersect(ts, ['from', 'he', 'la'])) >= 1 then 3 else 0 end
-  + case when len(list_filter(ts, lambda x: levenshtein(x, 'from') <= 1 or x = 'he' or x = 'la')) > 0 then 2 else 0 end as clauses from tok),
-hits as (select doc_id, clauses * (1 + coalesce(bm25, 0)) as score from c left join b using (doc_id) where clauses > 0)"""
+@query(f"with {fx.DOCS_SQL}, {TOK}, {_search_sql(['from', 'he', 'la'])} select doc_id, term, tf, round(score, 5) as score from bm")
+def T1_bm25(spark, sf):
+    return text.bm25(fx.text_docs(spark, sf), ["from", "he", "la"]).select("doc_id", "term", F.col("tf").cast("long"), F.round("score", 5).alias("score"))
 
 
 @query(f"{SEARCH} select doc_id, round(score, 5) as score from hits")
 def T1_text_search(spark, sf):
-    return text.search(fx.text_docs(spark, sf), "from he la").select("doc_id", F.round("score", 5).alias("score"))
+    return text.search(fx.text_docs(spark, sf), WORDS3).select("doc_id", F.round("score", 5).alias("score"))
 
 
-@query(f"with {fx.DOCS_SQL}, {TOK} select doc_id, len(ts) as n_tokens, array_to_string(ts[1:5], ' ') as first_tokens from tok")
+@query(f"with {fx.DOCS_SQL}, {TOK} select doc_id, len(ts) as n_tokens, md5(array_to_string(ts, ' ')) as tokens_md5 from tok")
 def T2_analyzer(spark, sf):
-    d = fx.text_docs(spark, sf).select("doc_id", text.tokens(F.col("text")).alias("ts"))
-    return d.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.array_join(F.slice("ts", 1, 5), " ").alias("first_tokens"))
+    d = fx.text_docs(spark, sf).select("doc_id", x.tokens(F.col("text")).alias("ts"))
+    return d.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.md5(F.array_join("ts", " ")).alias("tokens_md5"))
 
 
 @query(f"{SEARCH} select doc_id from (select doc_id, row_number() over (order by round(score, 6) desc, doc_id) as rank from hits) where rank <= 20")
 def T3_search_ids(spark, sf):
-    return text.search(fx.text_docs(spark, sf), "from he la", 20).select("doc_id")
+    return text.search(fx.text_docs(spark, sf), WORDS3, 20).select("doc_id")
 
 
 @query(f"{SEARCH} select h.doc_id, frame_id, video_id, timestamp_sec, round(score, 5) as score from hits h join text_docs using (doc_id) join frames using (frame_id) where source = 'ocr'")
 def T4_ocr_search(spark, sf):
     d = fx.text_docs(spark, sf)
-    h = text.frame_hits(text.search(d, "from he la"), d, fx.frames(spark, sf)).where("source = 'ocr'")
+    h = text.frame_hits(text.search(d, WORDS3), d, fx.frames(spark, sf)).where("source = 'ocr'")
     return h.select("doc_id", "frame_id", "video_id", "timestamp_sec", F.round("score", 5).alias("score"))
 
 
-@query(f"with {fx.DOCS_SQL}, q as (select doc_id, source, length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as a, length(text) as n from text_docs) select doc_id, round(case when n > 0 then a / n::double * least(1, a / case source when 'ocr' then 6.0 else 12.0 end::double) else 0 end, 6) as quality from q")
+ALNUM, SEEN = "length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))", "length(regexp_replace(text, '[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]', '', 'g'))"
+QUALITY = f"case when {SEEN} = 0 then 0 else {ALNUM} / {SEEN} * least(1.0, {ALNUM} / case source when 'ocr' then 6 else 12 end) end"
+
+
+@query(f"with {fx.DOCS_SQL} select doc_id, round({QUALITY}, 6)::double as quality from text_docs")
 def T9_document_quality(spark, sf):
     return fx.text_docs(spark, sf).select("doc_id", r6(text.quality(F.col("source"), F.col("text"))).alias("quality"))
 
 
-@query(f"""{SEARCH}, h as (select b.doc_id, b.term as keyword, frame_id, b.score, (b.doc_id % 5) / 4.0::double as quality from bm b join text_docs using (doc_id)),
-n as (select *, case when max(score) over w - min(score) over w <= 1e-9 then 1 else (score - min(score) over w) / (max(score) over w - min(score) over w) end * quality as c from h window w as (partition by keyword)),
-g as (select frame_id, max(c) as best, count(distinct keyword) as n_keywords from n group by all), s as (select *, best * (1 + 0.2 * (n_keywords - 1)) as sc, row_number() over (order by round(best * (1 + 0.2 * (n_keywords - 1)), 9) desc, frame_id) as rank from g)
-select frame_id, n_keywords, rank, round(sc, 6) as score from s where rank <= 30""")
+#: Requests of keywords: on screen, in speech, and both at once (accents and case apart, "La" is "la").
+JOINT = text.joint_request(("from he", "la", "zebra quagga"), ("Là", "there is", "la "), {"ocr": 0.4, "asr": 0.7})
+ASKED = [("ocr", ("from he", "la", "zebra quagga"), ("ocr",)), ("asr", ("La", "there is"), ("asr",)), ("joint", JOINT[0], ("ocr", "asr"))]
+WORDS_ALL = list(dict.fromkeys(k for _, ks, _ in ASKED for k in ks))
+POOL = 200
+KEYWORDS = f"""with {fx.DOCS_SQL}, {TOK}, {_search_sql(WORDS_ALL)}, rq as (select * from (values {", ".join(f"('{n}', '{k}', '{s}')" for n, ks, ss in ASKED for k in ks for s in ss)}) v(request, keyword, source)),
+q as (select doc_id, source, frame_id, {QUALITY} as quality, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')) as folded from text_docs),
+kh as (select request, keyword, doc_id, score, row_number() over (partition by request, keyword order by round(score, 6) desc, doc_id) as n from hits_t join text_docs using (doc_id) join rq using (keyword, source) where score > 0),
+kw as (select kh.*, source, frame_id, quality, contains(folded, strip_accents(lower(keyword))) as exact_phrase from kh join q using (doc_id) where n <= {POOL} and quality > 0),
+kn as (select *, strip_accents(lower(keyword)) as semantic, case when max(score) over w - min(score) over w <= 1e-9 then 1 else (score - min(score) over w) / (max(score) over w - min(score) over w) end * quality as c from kw window w as (partition by request, keyword)),
+kg as (select request, frame_id, max(c) as best, count(distinct semantic) as n_keywords, avg(quality) as avg_quality from kn group by all),
+ke as (select * from (select *, best * (1 + 0.2 * (n_keywords - 1)) as score, row_number() over (partition by request order by round(best * (1 + 0.2 * (n_keywords - 1)), 9) desc, frame_id) as rank from kg) where rank <= {POOL}),
+kc as (select request, count(distinct strip_accents(lower(keyword))) as asked from rq group by all), km as (select request, count(distinct semantic) as met from kn group by all),
+kt as (select request, max(score) as best, quantile_cont(score, 0.5) as med, count(*) as n, avg(avg_quality) as quality from ke where rank <= 10 group by all),
+kq as (select request, coalesce(met, 0) / asked as coverage, case when n is null then 0 when n = 1 then 1 else greatest(0, least(1, (best - med) / greatest(abs(best), 1e-9))) end as separation, coalesce(quality, 0) as quality from kc left join km using (request) left join kt using (request)),
+hq as (select *, 0.5 * coverage + 0.3 * separation + 0.2 * quality as hit_quality from kq)"""
+
+
+def _keyword_hits(spark, sf):
+    return text.keyword_hits(fx.text_docs(spark, sf), ASKED, POOL)
+
+
+@query(f"{KEYWORDS} select request, frame_id, n_keywords, rank, round(score, 6) as score from ke")
 def T7_keyword_evidence(spark, sf):
-    d = fx.text_docs(spark, sf)
-    h = text.bm25(d, ["from", "he", "la"]).withColumnRenamed("term", "keyword").join(d.select("doc_id", "frame_id"), "doc_id")
-    h = h.withColumn("quality", (F.col("doc_id") % 5) / 4).withColumn("weight", F.lit(1.0))
-    return text.keyword_evidence(h, 30).select("frame_id", "n_keywords", "rank", r6("score").alias("score"))
+    """Of each request's keywords the best two hundred documents, and as many frames (both features)."""
+    return text.keyword_evidence(_keyword_hits(spark, sf), POOL).select("request", "frame_id", "n_keywords", "rank", r6("score").alias("score"))
 
 
-@query()
-def T8_near_suppression(spark, sf):
-    """Greedy in rank order; tested against a loop."""
-    p = fx.points(spark, sf).select(F.col("kind").alias("keyword"), "video_id", F.lit(0).alias("shot_id"), F.lit("").alias("norm"), "ts", F.col("event_id").alias("rank"), F.col("event_id").alias("doc_id"))
-    return text.suppress_near(p, 3600.0).select("keyword", "video_id", "doc_id")
+def _quality(spark, sf):
+    h = _keyword_hits(spark, sf)
+    asked = spark.createDataFrame([(n, k) for n, ks, _ in ASKED for k in ks], "request string, keyword string")
+    return text.hit_quality(h, text.keyword_evidence(h, POOL), asked, ["request"])
 
 
-@query(f"""{HEAD} {SCORED}, t as (select *, (frame_id % 5) / 4.0::double as quality from hits where rank <= 10), g as (select query_id, model, count(*) / 10.0::double as coverage, max(score) as best, quantile_cont(score, 0.5) as med, avg(quality) as quality from t group by all),
-s as (select *, case when abs(best) > 1e-9 then greatest(0, least(1, (best - med) / abs(best))) else 0 end as separation from g)
-select query_id, model, round(separation, 6) as separation, round(0.5 * coverage + 0.3 * separation + 0.2 * quality, 6) as hit_quality from s""")
+@query(f"{KEYWORDS} select request, round(coverage, 6) as coverage, round(separation, 6) as separation, round(hit_quality, 6) as hit_quality from hq")
 def T10_hit_quality(spark, sf):
-    h = _hits(spark, sf).withColumn("quality", (F.col("frame_id") % 5) / 4)
-    return text.hit_quality(h, ["query_id", "model"]).select("query_id", "model", r6("separation").alias("separation"), r6("hit_quality").alias("hit_quality"))
+    return _quality(spark, sf).select("request", *[r6(c).alias(c) for c in ("coverage", "separation", "hit_quality")])
 
 
-@query(f"{SEARCH} select frame_id, round(max(score), 5) as score from hits join text_docs using (doc_id) group by all")
+@query(f"""{KEYWORDS} select source, count(distinct frame_id) as n_frames, 'used' as status, round(least(0.5, greatest(0, 0.7 * any_value(hit_quality))), 6)::double as weight from kn join hq using (request) where request = 'joint' group by all""")
+def T12_joint_text(spark, sf):
+    """Both sources by one list of keywords: frames hit by each, and the weight by the larger confidence."""
+    h = _keyword_hits(spark, sf).where("request = 'joint'")
+    counts = h.groupBy("request", "source").agg(F.countDistinct("frame_id").alias("n_frames"))
+    j = counts.join(_quality(spark, sf), "request").withColumn("weight", fusion.adaptive_weight(F.lit(JOINT[1]), F.col("hit_quality")))
+    return j.select("source", "n_frames", F.when((F.col("n_frames") > 0) & (F.col("weight") > 0), "used").otherwise("no_hits").alias("status"), "weight")
+
+
+@query(f"""with recursive {fx.POINTS_SQL}, o as (select kind, video_id, event_id, ts, row_number() over (partition by kind, video_id order by event_id) as i from points),
+walk as (select kind, video_id, 0::bigint as i, []::double[] as kept, null::bigint as event_id, false as keep from o where i = 1
+  union all select o.kind, o.video_id, o.i, case when len(list_filter(w.kept, lambda k: abs(k - o.ts) <= 3600)) = 0 then list_append(w.kept, o.ts) else w.kept end, o.event_id, len(list_filter(w.kept, lambda k: abs(k - o.ts) <= 3600)) = 0 from walk w join o on o.kind = w.kind and o.video_id = w.video_id and o.i = w.i + 1)
+select kind as keyword, video_id, event_id as doc_id from walk where keep""")
+def T8_near_suppression(spark, sf):
+    """Greedy in rank order; tested against a loop too."""
+    p = fx.points(spark, sf).select(F.col("kind").alias("keyword"), "video_id", F.lit(0).alias("shot_id"), F.lit("").alias("norm"), "ts", F.col("event_id").alias("rank"), F.col("event_id").alias("doc_id"))
+    return text.suppress_near(p, 3600.0).select("keyword", "video_id", "doc_id")
+
+
+@query(f"{SEARCH} select frame_id, round(max(score), 5) as score from (select * from hits order by round(score, 6) desc, doc_id limit 5000) join text_docs using (doc_id) group by all")
 def T11_score_map(spark, sf):
+    """Of the best five thousand documents (the feature) the best score of each frame."""
     d = fx.text_docs(spark, sf)
-    return text.search(d, "from he la").join(d.select("doc_id", "frame_id"), "doc_id").groupBy("frame_id").agg(F.round(F.max("score"), 5).alias("score"))
+    return text.search(d, WORDS3, 5000).join(d.select("doc_id", "frame_id"), "doc_id").groupBy("frame_id").agg(F.round(F.max("score"), 5).alias("score"))
 
 
-@query(f"{SEARCH} select source, count(*) as n_hits, round(max(score), 5) as best from hits join text_docs using (doc_id) where source in ('ocr', 'asr') group by all")
-def T12_joint_text(spark, sf):
-    d = fx.text_docs(spark, sf)
-    h = text.search(d, "from he la").join(d.select("doc_id", "source"), "doc_id").where(F.col("source").isin("ocr", "asr"))
-    return h.groupBy("source").agg(F.count("*").alias("n_hits"), F.round(F.max("score"), 5).alias("best"))
+EVIDENCE = f"""{KEYWORDS}, {fx.FRAMES_SQL}, {fx.VECTORS_SQL}, {fx.QUERIES_SQL}, {SCORED}, {SRRF} {RANKED}, co as (select request as component, frame_id, case when max(score) over w - min(score) over w <= 1e-9 then 1 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as normalized from ke where request <> 'joint' window w as (partition by request)),
+ax as (select frame_id, max(normalized * w) as best_aux, sum(normalized * w) as all_aux, count(*) as n_aux from co join (values ('ocr', 0.4::double), ('asr', 0.25::double)) v(component, w) using (component) group by all),
+er as (select *, row_number() over (partition by request, frame_id order by keyword, round(score, 6) desc, doc_id) as e from kw where request <> 'joint'), ev as (select frame_id, max(quality * case when exact_phrase then 1.0 else 0.8 end) as worth from er where e <= 8 group by all),
+ne as (select r.*, rank <= 30 as head, case when rank <= 30 and worth is not null and best_aux is not null then r.score + 0.20 * best_aux * worth + 0.02 * least(1, n_aux / 3) * all_aux else r.score end as new from r left join ax using (frame_id) left join ev using (frame_id))"""
 
 
-@query("select doc_id, trim(regexp_replace(lang || ' ' || source, '\\s+', ' ', 'g')) as composed from documents")
-def P11_compose(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", squeezed(F.concat_ws(" ", F.nullif(F.trim("lang"), F.lit("")), F.nullif(F.trim("source"), F.lit("")))).alias("composed"))
+@query(f"{EVIDENCE} select query_id, frame_id, row_number() over (partition by query_id order by head desc, case when head then -round(new, 9) else 0 end, rank) as place, round(new / max(new) over (partition by query_id), 6) as score from ne")
+def F8_evidence_rerank(spark, sf):
+    """Visual results with what the text branches found; the evidence of all documents, eight rows of a frame and branch (the feature)."""
+    h = _keyword_hits(spark, sf).where("request <> 'joint'")
+    branch = fusion.diagnostics(text.keyword_evidence(h, POOL).select("request", "frame_id", "score"), ["request"])
+    components = branch.select(F.col("request").alias("component"), "frame_id", "normalized")
+    ev = text.evidence_rows(h).select("frame_id", F.col("quality").alias("document_quality"), F.col("weight").alias("temporal_weight"), "exact_phrase")
+    out = fusion.evidence_rerank(_ranked(spark, sf).select("query_id", "frame_id", "rank", "score"), components, {"kis": 1.0, "ocr": 0.4, "asr": 0.25}, ev, ["query_id"])
+    return out.select("query_id", "frame_id", "place", r6("score").alias("score"))
 
 
-def search_frames(vectors: DataFrame, queries: DataFrame, frames: DataFrame, k: int = 20, weights: dict[str, float] | None = None) -> DataFrame:
-    """The basic search as a function of tables: top-k per model, SRRF, hydration."""
-    hits = vector.top_k(vectors, queries, vector.pool_size(k, 2)).drop("rank")
-    return ranking.top_per(fusion.srrf(hits, ["query_id"], weights), ["query_id"], [F.desc(F.round("score", 9)), "frame_id"], k).join(frames, "frame_id")
+#: Required events of a request and what captions are searched for: the short variant of each language.
+CAPTION_EVENTS = (("woman placing 4 [TARGET] from he la", "đặt lên đĩa 4 con [TARGET] la from"), ("then holding 2 [TARGET] there", "cầm 2 con [TARGET] la"))
+CAPTION_TEXTS = ("4 food ingredients from he la", "4 nguyen lieu mon an la from tren dia trang", "2 food ingredients there in hands", "2 nguyen lieu mon an la tren tay")
+CAPTIONS = f"""with {fx.DOCS_SQL.replace("from documents", "from documents where doc_id % 2 = 1")}, {fx.FRAMES_SQL}, {fx.VECTORS_SQL}, {fx.QUERIES_SQL}, {TOK}, {_search_sql(list(CAPTION_TEXTS))}, {SCORED}, {SRRF} {RANKED},
+cl as (select *, row_number() over (partition by keyword order by round(score, 6) desc, doc_id) as rank from hits_t where score > 0), cf as (select keyword, frame_id, min(rank) as first from cl join text_docs using (doc_id) where rank <= {POOL} group by all),
+ck as (select keyword, frame_id, row_number() over (partition by keyword order by first) as rank, count(*) over (partition by keyword) as n from cf),
+v as (select query_id, frame_id, case when n <= 1 then 1.0::double else greatest(0, 1 - (rank - 1) / n) end as s from (select *, count(*) over (partition by query_id) as n from r)),
+a as (select q.query_id, frame_id, 0.2 * case when n <= 1 then 1.0::double else greatest(0, 1 - (rank - 1) / n) end as s from ck, (select distinct query_id from queries) q)
+select query_id, frame_id, round(sum(s), 6) as score from (select * from v union all select * from a) group by all"""
+
+
+@query(CAPTIONS)
+def T13_caption_retrieval(spark, sf):
+    """Captions by the short search texts of required events, each a list that raises the visual results."""
+    events = spark.createDataFrame(list(CAPTION_EVENTS), "en string, vi string")
+    food, yes = F.lit("food"), F.lit(True)
+    made = events.select(lang.caption_queries(lang.event_variants(F.col("en"), "en", food, yes), lang.event_variants(F.col("vi"), "vi", food, yes)).alias("q"))
+    texts = list(dict.fromkeys(t for r in made.collect() for t in r.q))  # two for each of at most five events
+    captions = fx.text_docs(spark, sf).where("source = 'asr'")
+    found = ranking.top_per(text.search_many(captions, texts), ["keyword"], [F.desc(F.round("score", 6)), "doc_id"], POOL)
+    frames = found.join(captions.select("doc_id", "frame_id"), "doc_id").groupBy("keyword", "frame_id").agg(F.min("rank").alias("first"))
+    lists = ranking.ranked(frames, ["keyword"], ["first"]).withColumnRenamed("keyword", "source")
+    r = _ranked(spark, sf)
+    return fusion.auxiliary_merge_shared(r, lists, ["query_id"]).select("query_id", "frame_id", r6("score").alias("score"))

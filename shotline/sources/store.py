@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,11 +36,67 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
     return parsed.where(~bad).select(*[F.col(f"r.{f.name}") for f in schema]), parsed.where(bad).select(F.substring("value", 1, 500).alias("sample"))
 
 
+def workspace(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the folder that the cluster shares (spark.checkpoint.dir); a local one only where the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        found = f"file://{tempfile.gettempdir()}/work"
+    return f"{found.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def append_jsonl(rows: DataFrame, path: str) -> None:
     """Records as JSON with sorted keys."""
     rows.select(*sorted(rows.columns)).write.mode("append").json(path)
 
 
+def repair(spark: SparkSession, path: str, schema: T.StructType, dry_run: bool = True) -> int:
+    """Rewrite a JSONL manifest with its sound lines, the old kept as .bak; returns the corrupt ones. A dry run only counts."""
+    rows, corrupt = read_jsonl(spark, path, schema)
+    n = corrupt.count()
+    if n and not dry_run:
+        beside = f"{path}.new-{uuid.uuid4().hex}"
+        rows.write.json(beside)
+        _rename(spark, beside, path)
+    return n
+
+
+def checked_qrels(qrels: DataFrame) -> DataFrame:
+    """(query_id, query, relevant_frame_ids, relevant_moments: (.., start_sec, end_sec)) rows; a faulty one fails when it is read.
+
+    Ids and queries must not be blank, ids not repeat, a row has a frame or a moment,
+    and no moment ends before it starts.
+    """
+    q = qrels.withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
+    fault = (
+        F.when(F.coalesce(F.trim(F.col("query_id").cast("string")), F.lit("")) == "", "no query_id").when(F.coalesce(F.trim("query"), F.lit("")) == "", "no query").when(F.col("_n") > 1, "repeated query_id")
+        .when(F.exists("relevant_moments", lambda m: m["end_sec"] < m["start_sec"]), "inverted interval").when(F.size("relevant_frame_ids") + F.size("relevant_moments") == 0, "no relevance labels")
+    )
+    checked = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.lit(": "), F.col("query_id").cast("string")))).otherwise(F.col("query_id"))
+    return q.withColumn("query_id", checked).drop("_n")
+
+
+def entries(spark: SparkSession, folder: str, extensions: tuple[str, ...]) -> DataFrame:
+    """(path: below the folder, size_bytes, modified_ms) of its files by extension; contents aren't read."""
+    pattern = r"(?i)\.(" + "|".join(e.lstrip(".") for e in extensions) + ")$"
+    root = folder.rstrip("/").removeprefix("file:")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(pattern))
+    below = F.expr(f"substring(path, locate('{root}/', path) + {len(root) + 1})")
+    return files.select(below.alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_ms"))
+
+
+def profile(files: DataFrame) -> DataFrame:
+    """One row: n, bytes, extensions (a map to counts), fingerprint (sha256 of the JSON of all entries in path order). Files are few against rows."""
+    rows = F.array_sort(F.collect_list(F.struct("path", "size_bytes", "modified_ms")))
+    text = F.array_join(F.transform("rows", lambda r: F.concat(F.lit('["'), r["path"], F.lit('",'), r["size_bytes"].cast("string"), F.lit(","), r["modified_ms"].cast("string"), F.lit("]"))), ",")
+    kind = lambda r: F.lower(F.regexp_extract(r["path"], r"(\.[^.]+)$", 1))
+    g = files.agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), rows.alias("rows"))
+    kinds = F.transform("rows", kind)
+    counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)).cast("long"))))
+    return g.select("n", "bytes", counts.alias("extensions"), F.sha2(F.concat(F.lit("["), text, F.lit("]")), 256).alias("fingerprint"))
+
+
 def _rename(spark: SparkSession, source: str, target: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
@@ -122,9 +179,22 @@ def config_hash(config: dict) -> str:
 
 def plan_is_current(plan: dict, config: dict, dataset: str) -> bool:
     """Approved, and made for this configuration and these data."""
-    return bool(plan.get("approved")) and plan.get("config_hash") == config_hash(config) and plan.get("dataset") == dataset
+    return plan.get("status") == "APPROVED" and plan.get("config_hash") == config_hash(config) and plan.get("dataset") == dataset
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
     """A small artefact as one JSON file in a folder."""
     spark.createDataFrame([(json.dumps(value, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def job_states(history: DataFrame) -> DataFrame:
+    """The current state of each (item_id, stage) of a history (.., status, updated_at, step, error), and how often it failed."""
+    key = ["item_id", "stage"]
+    tries = history.groupBy(*key).agg(F.sum((F.col("status") == "FAILED").cast("long")).alias("attempts"), F.max_by(F.struct("status", "updated_at", "error"), "step").alias("last"))
+    return tries.select(*key, "last.status", "last.updated_at", "attempts", "last.error")
+
+
+def failures(current: DataFrame, stage: str | None = None) -> DataFrame:
+    """Failed and blocked jobs, of one stage or all, the longest untouched first."""
+    out = current.where(F.col("status").isin("FAILED", "BLOCKED"))
+    return (out if stage is None else out.where(F.col("stage") == stage)).orderBy("updated_at", "item_id", "stage")
