@@ -105,7 +105,7 @@ def ocr_search(t: Tables, query: str, k: int = 20) -> DataFrame:
     if not query.strip():
         raise ValueError("the query text is empty")
     docs = t.text_docs.where("source = 'ocr'")
-    return text.frame_hits(text.search(docs, query, ranking.clamp_k(k)), docs, t.frames)
+    return text.frame_hits(text.search(docs, query, ranking.clamp_k(k), ("source", "frame_id")), t.frames)
 
 
 def asr_search(t: Tables, query: str, k: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotline.functions.scalar import answer as plain_answer
-from shotline.functions.scalar import jaccard
+from shotline.functions.scalar import jaccard, tolerant_double
 from shotline.operators.temporal import iou
 
 
@@ -136,6 +136,22 @@ def stability(runs: DataFrame) -> DataFrame:
     return g.select("query_id", one("answers").alias("answers"), one("videos").alias("videos"), F.when(F.size(some) > 0, mean).alias("evidence"), ((one("answers") + one("videos")) / 2).alias("overall"))
 
 
+def usage_totals(calls: DataFrame, by: list) -> DataFrame:
+    """What model calls of each group used: operations, http_requests, rate_limited, wait_ms, prompt_tokens, completion_tokens, total_tokens, cost.
+
+    `calls` has (by, logical_calls, request_count, wait_ms, rate_limited, the tokens
+    and cost) as reported; what isn't a number counts nothing, requests never less
+    than nothing.
+    """
+    whole = lambda c: F.coalesce(F.col(c).cast("string").try_cast("long"), F.lit(0))
+    real = lambda c: F.coalesce(tolerant_double(F.col(c).cast("string")), F.lit(0.0))
+    sums = [F.sum(whole(c)).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")]
+    return calls.groupBy(*by).agg(
+        F.sum("logical_calls").alias("operations"), F.sum(F.greatest(F.lit(0), whole("request_count"))).alias("http_requests"),
+        F.sum(F.coalesce("rate_limited", F.lit(False)).cast("long")).alias("rate_limited"), F.round(F.sum(real("wait_ms")), 3).alias("wait_ms"), *sums, F.sum(real("cost")).alias("cost"),
+    )
+
+
 # What each preset of the evaluation switches.
 ABLATIONS = {
     "kis": {"enable_kis": True, "enable_ocr": False, "enable_asr": False},

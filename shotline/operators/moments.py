@@ -215,25 +215,29 @@ def selected(
     for_context = min(context_slots, max(0, candidates - 1)) if two and context else 0
     for_chain = min(chain_slots, max(0, candidates - for_context - 1)) if two else 0
     standard = candidates - for_context - for_chain
-    rows = pooled(moments, by, pool).groupBy(*by).agg(F.array_sort(F.collect_list(_row("pool_place"))).alias("pool"))
-    keys = rescue_keys()
-
-    def reserve(source: DataFrame, key: list[Column], slots: int, name: str) -> DataFrame:
-        # The best moment of each video; as many videos as may be taken already, and the slots.
-        order = [*(F.desc(F.round(k, 9)) for k in key), *_best_first()]
-        best = ranked(ranked(source, [*by, "video_id"], order, "n").where("n = 1"), by, order, "nth").where(F.col("nth") <= candidates + slots)
-        return best.groupBy(*by).agg(F.array_sort(F.collect_list(_row("nth"))).alias(name))
-
-    rows = rows.join(reserve(moments.where("coverage > 0"), keys[0], for_context, "by_context"), by, "left").join(reserve(moments, keys[1], for_chain, "by_chain"), by, "left")
+    # One exchange by request: every order is a rank over it, and what the slots choose from is one row.
+    m = ranked(ranked(moments, by, _best_first(), "best"), [*by, "video_id"], ["best"], "of_video")
+    m = ranked(m, by, [F.col("of_video") > 1, "best"], "pool_place")
+    reserves = {"by_context": (F.col("coverage") > 0, rescue_keys()[0], for_context), "by_chain": (F.lit(True), rescue_keys()[1], for_chain)}
+    for name, (able, keys, _) in reserves.items():
+        # The best able moment of each video, and its place among them.
+        m = ranked(m, [*by, "video_id"], [~able, *(F.desc(F.round(k, 9)) for k in keys), "best"], f"{name}_n")
+        m = ranked(m, by, [~able | (F.col(f"{name}_n") > 1), *(F.desc(F.round(k, 9)) for k in keys), "best"], f"{name}_at")
+    held = lambda on, place: F.array_sort(F.collect_list(F.when(on, _row(place))))
+    lists = [held(F.col("pool_place") <= pool, "pool_place").alias("pool")]
+    for name, (able, _, slots) in reserves.items():
+        # As many videos as may be taken already, and the slots.
+        lists.append(held(able & (F.col(f"{name}_n") == 1) & (F.col(f"{name}_at") <= candidates + slots), f"{name}_at").alias(name))
+    rows = m.groupBy(*by).agg(*lists)
     none = F.slice("pool", 1, 0)
     got = F.transform(none, lambda x: F.struct(F.lit("pool").alias("source"), x.alias("m")))
     got = rows.withColumn("got", _take(_take(got, F.col("pool"), 1, standard, "pool"), F.col("pool"), 2, standard, "pool"))
     if for_context:
         most = F.least(F.lit(candidates - for_chain), F.size("got") + for_context)
-        got = got.withColumn("most", most).withColumn("got", _rescue(F.col("got"), F.coalesce("by_context", none), F.col("most"), "context_anchor_rescue"))
+        got = got.withColumn("most", most).withColumn("got", _rescue(F.col("got"), F.col("by_context"), F.col("most"), "context_anchor_rescue"))
     if for_chain:
         most = F.least(F.lit(candidates), F.size("got") + for_chain)
-        got = got.withColumn("most", most).withColumn("got", _rescue(F.col("got"), F.coalesce("by_chain", none), F.col("most"), "required_chain_rescue"))
+        got = got.withColumn("most", most).withColumn("got", _rescue(F.col("got"), F.col("by_chain"), F.col("most"), "required_chain_rescue"))
     got = got.withColumn("got", _take(F.col("got"), F.col("pool"), 2, candidates, "pool"))
     out = got.select(*by, F.posexplode("got").alias("k", "g"))
     return out.select(*by, (F.col("k") + 1).alias("candidate"), "g.source", "g.m.video_id", "g.m.chain_place", "g.m.frames", "g.m.score")

@@ -67,16 +67,16 @@ def _expansions(term: str) -> Column:
     return F.transform(F.filter(F.array_distinct("some"), _near(term)), lambda t: F.struct(F.size(F.filter("some", lambda u: u == t)).alias("tf"), boost(t).alias("boost")))
 
 
-def _digest(docs: DataFrame, requests: list[list[str]], terms: list[str], text: str) -> DataFrame:
-    """doc_id, dl, tf (of each term), pf (of each request's phrase), near (of each term: expansions), by one pass and one exchange."""
-    t = docs.select("doc_id", tokens(F.col(text)).alias("ts"))
-    t = t.select("doc_id", "ts", F.size("ts").alias("dl"), F.filter("ts", _near_any(terms)).alias("some"))
+def _digest(docs: DataFrame, requests: list[list[str]], terms: list[str], text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, dl, tf (of each term), pf (of each request's phrase), near (of each term: expansions), and `keep`, by one pass and one exchange."""
+    t = docs.select("doc_id", *keep, tokens(F.col(text)).alias("ts"))
+    t = t.select("doc_id", *keep, "ts", F.size("ts").alias("dl"), F.filter("ts", _near_any(terms)).alias("some"))
     t = t.withColumn("tf", F.array(*[F.size(F.filter("some", _is(x))) for x in terms]))
     phrase = [
         F.when(_all_of(words, terms) & (F.col("dl") >= len(words)), F.size(F.filter(F.sequence(F.lit(0), F.col("dl") - len(words)), _place_of(words)))).otherwise(0) if words else F.lit(0)
         for words in requests
     ]
-    t = t.select("doc_id", "dl", "tf", F.array(*phrase).alias("pf"), F.array(*[_expansions(x) for x in terms]).alias("near"))
+    t = t.select("doc_id", *keep, "dl", "tf", F.array(*phrase).alias("pf"), F.array(*[_expansions(x) for x in terms]).alias("near"))
     return t.repartition(F.col("doc_id"))
 
 
@@ -93,7 +93,7 @@ def _stats(digest: DataFrame, terms: list[str]) -> DataFrame:
     `n` adds 1 a row by way of all columns, so that the optimiser prunes none and the digest's exchange is reused.
     """
     each = lambda f: F.array(*[F.sum(f(i).cast("long")) for i in range(len(terms))])
-    one = F.pmod(F.hash("doc_id", "dl", "tf", "pf", "near"), F.lit(1)) + 1
+    one = F.pmod(F.hash(*digest.columns), F.lit(1)) + 1
     df, dfn = each(lambda i: F.col("tf")[i] > 0), each(lambda i: F.size(F.col("near")[i]) > 0)
     return digest.agg(F.sum(one.cast("long")).alias("n"), F.avg("dl").alias("avg_dl"), df.alias("df"), dfn.alias("dfn"))
 
@@ -128,13 +128,16 @@ def bm25(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     return j.select("doc_id", F.explode(parts).alias("p")).where("p.score > 0").select("doc_id", "p.term", "p.tf", "p.score")
 
 
-def search_many(docs: DataFrame, requests: list[str], text: str = "text") -> DataFrame:
-    """(doc_id, keyword, score) of every document that matches a clause of a request; requests are a short list."""
+def search_many(docs: DataFrame, requests: list[str], text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keyword, score) of every document that matches a clause of a request; requests are a short list.
+
+    `keep` names small columns of `docs` that hits carry, so that they needn't be joined back.
+    """
     words = request_terms(requests)
     terms = list(dict.fromkeys(w for r in words for w in r))
     if not terms:
-        return docs.where(F.lit(False)).select("doc_id", F.lit("").alias("keyword"), F.lit(0.0).alias("score"))
-    d = _digest(docs, words, terms, text)
+        return docs.where(F.lit(False)).select("doc_id", *keep, F.lit("").alias("keyword"), F.lit(0.0).alias("score"))
+    d = _digest(docs, words, terms, text, keep)
     j = d.crossJoin(F.broadcast(_stats(d, terms)))  # one row
     part = {t: _idf(F.col("df")[i]) * _saturated(F.col("tf")[i]) for i, t in enumerate(terms)}
     near = {
@@ -154,19 +157,19 @@ def search_many(docs: DataFrame, requests: list[str], text: str = "text") -> Dat
         ]
         if own:
             scores.append(F.struct(F.lit(requests[k]).alias("keyword"), _sum(clauses).alias("score")))
-    out = j.select("doc_id", F.explode(F.array(*scores)).alias("s")).where("s.score > 0")
-    return out.select("doc_id", "s.keyword", "s.score")
+    out = j.select("doc_id", *keep, F.explode(F.array(*scores)).alias("s")).where("s.score > 0")
+    return out.select("doc_id", *keep, "s.keyword", "s.score")
 
 
-def search(docs: DataFrame, query: str, k: int | None = None) -> DataFrame:
-    """(doc_id, score) of one request, all of them or the k best."""
-    out = search_many(docs, [query]).select("doc_id", "score")
+def search(docs: DataFrame, query: str, k: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score) of one request with the columns `keep`, all of them or the k best."""
+    out = search_many(docs, [query], keep=keep).select("doc_id", *keep, "score")
     return out if k is None else out.orderBy(F.desc(F.round("score", 6)), "doc_id").limit(k)
 
 
-def frame_hits(hits: DataFrame, docs: DataFrame, frames: DataFrame) -> DataFrame:
-    """Text hits with a frame, joined to it; documents without one go."""
-    return hits.join(docs.where("frame_id is not null").select("doc_id", "frame_id", "source"), "doc_id").join(frames, "frame_id")
+def frame_hits(hits: DataFrame, frames: DataFrame) -> DataFrame:
+    """Text hits (doc_id, frame_id, score ..) joined to their frame; those without one go."""
+    return hits.where("frame_id is not null").join(frames, "frame_id")
 
 
 def speech_hits(hits: DataFrame, mapped: DataFrame, k: int) -> DataFrame:
@@ -186,11 +189,12 @@ def keyword_hits(docs: DataFrame, requests: list[tuple[str, tuple[str, ...], tup
     spark = docs.sparkSession
     words = list(dict.fromkeys(k for _, ks, _ in requests for k in ks))
     asked = spark.createDataFrame([(n, k, s) for n, ks, ss in requests for k in ks for s in ss], "request string, keyword string, source string")
-    meta = docs.select("doc_id", "frame_id", "source", quality(F.col("source"), F.col("text")).alias("quality"), folded(F.col("text")).alias("folded"))
-    h = search_many(docs, words).join(meta.select("doc_id", "source"), "doc_id").join(F.broadcast(asked), ["keyword", "source"])  # a short list
-    best = top_per(h, ["request", "keyword"], [F.desc(F.round("score", 6)), "doc_id"], pool).drop("rank", "source")
-    out = best.join(meta, "doc_id").where("frame_id is not null and quality > 0").withColumn("weight", F.lit(1.0))
-    return out.withColumn("exact_phrase", F.contains("folded", folded(F.col("keyword")))).drop("folded")
+    h = search_many(docs, words, keep=("frame_id", "source")).join(F.broadcast(asked), ["keyword", "source"])  # the requests themselves
+    best = top_per(h, ["request", "keyword"], [F.desc(F.round("score", 6)), "doc_id"], pool).drop("rank")
+    # `pool` documents a keyword meet their texts: a bounded side, so that texts aren't shuffled.
+    out = docs.select("doc_id", "text").join(F.broadcast(best), "doc_id").where("frame_id is not null")
+    out = out.withColumn("quality", quality(F.col("source"), F.col("text"))).withColumn("exact_phrase", F.contains(folded(F.col("text")), folded(F.col("keyword"))))
+    return out.where("quality > 0").withColumn("weight", F.lit(1.0)).drop("text")
 
 
 def keyword_evidence(hits: DataFrame, k: int, by: tuple[str, ...] = ("request",)) -> DataFrame:

@@ -86,9 +86,22 @@ def A12_distinct_first(spark, sf):
     return d.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-@query("select event_type, count(*) as calls, round(sum(value), 4) as cost from events group by all")
+CALLS = f"""calls as (select user_id as request, event_type = 'error' as rate_limited, {fx.K_SQL} as k, value, case {fx.K_SQL} % 5 when 0 then 'none' when 1 then '-2' else ({fx.K_SQL} % 5)::varchar end as request_count,
+  case when {fx.K_SQL} % 7 = 0 then '1.5' else (100 + {fx.K_SQL})::varchar end as prompt_tokens, case when event_type = 'view' then null else {fx.K_SQL}::varchar end as completion_tokens, case when {fx.K_SQL} % 11 = 0 then 'nan' else value::varchar end as cost from events)"""
+
+
+@query(f"""with {CALLS} select request, sum(case when rate_limited then 2 else 1 end)::bigint as operations, sum(greatest(0, coalesce(try_cast(request_count as bigint), 0)))::bigint as http_requests, count(*) filter (rate_limited) as rate_limited, round(sum(value * 10), 3) as wait_ms,
+sum(case when prompt_tokens = '1.5' then 0 else prompt_tokens::bigint end)::bigint as prompt_tokens, sum(coalesce(completion_tokens::bigint, 0))::bigint as completion_tokens, sum(k)::bigint as total_tokens, round(sum(case when cost = 'nan' then 0 else cost::double end), 4) as cost from calls group by all""")
 def A13_usage(spark, sf):
-    return fx.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("cost"))
+    """Calls of each request with figures as text: some aren't numbers, some negative, some missing."""
+    k = fx.k_of("props")
+    calls = fx.table(spark, sf, "events").select(
+        F.col("user_id").alias("request"), F.when(F.col("event_type") == "error", 2).otherwise(1).cast("long").alias("logical_calls"), (F.col("event_type") == "error").alias("rate_limited"),
+        F.when(k % 5 == 0, "none").when(k % 5 == 1, "-2").otherwise((k % 5).cast("string")).alias("request_count"), (F.col("value") * 10).alias("wait_ms"),
+        F.when(k % 7 == 0, "1.5").otherwise((100 + k).cast("string")).alias("prompt_tokens"), F.when(F.col("event_type") != "view", k.cast("string")).alias("completion_tokens"), k.cast("string").alias("total_tokens"),
+        F.when(k % 11 == 0, "nan").otherwise(F.col("value").cast("string")).alias("cost"),
+    )
+    return evaluate.usage_totals(calls, ["request"]).withColumn("cost", F.round("cost", 4))
 
 
 @query(f"{HEAD} {SCORED} select frame_id from hits where model = 'a' union select frame_id from hits where model = 'b'")

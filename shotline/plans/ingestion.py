@@ -189,12 +189,17 @@ def S11_qrels(spark, sf):
     return q.select("query_id", F.size("relevant_frame_ids").cast("long").alias("n_frames"), F.size("relevant_moments").cast("long").alias("n_moments"))
 
 
-@query("select vec_id as frame_id, vec_id // 50 as video_id, vec_id % 50 as frame_no from embeddings")
+@query("""with n as (select 'v' || vec_id // 50 || case label when 1 then '_f' || lpad((vec_id % 50)::varchar, 4, '0') when 2 then '-' || vec_id || '.jpg' when 3 then '_s' || vec_id // 25 || '_x' || vec_id else '_s' || vec_id // 25 || '_f' || lpad(vec_id::varchar, 8, '0') end as frame_id from embeddings), p as (select *, string_split(frame_id, '_') as p from n)
+select frame_id, p[1] as video_id, case when len(p) > 2 then p[2] else p[1] || '_s0' end as shot_id, case when regexp_matches(frame_id, '_f[0-9]+') then regexp_extract(frame_id, '_f([0-9]+)', 1)::bigint else 0 end as frame_index,
+  null::double as timestamp_sec, 'frames/' || p[1] || '/' || frame_id || case when ends_with(frame_id, '.jpg') then '' else '.jpg' end as frame_path from p""")
 def S13_parse_ids(spark, sf):
-    """Manifest rows from frame names alone; names of another form have neither part."""
-    name = F.concat(F.lit("video_"), F.expr("vec_id div 50"), F.lit("_f"), F.lpad(F.expr("vec_id % 50").cast("string"), 8, "0"))
-    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), name.alias("name"))
-    return e.select("frame_id", F.regexp_extract("name", r"^video_(\d+)_f(\d+)$", 1).cast("long").alias("video_id"), F.regexp_extract("name", r"^video_(\d+)_f(\d+)$", 2).cast("long").alias("frame_no"))
+    """Names of four forms, by label: with a shot, without one, without an index, and of a file."""
+    v, shot, label = F.col("vec_id"), F.expr("vec_id div 25").cast("string"), F.col("label")
+    tail = (
+        F.when(label == 1, F.concat(F.lit("_f"), F.lpad((v % 50).cast("string"), 4, "0"))).when(label == 2, F.concat(F.lit("-"), v, F.lit(".jpg"))).when(label == 3, F.concat(F.lit("_s"), shot, F.lit("_x"), v))
+        .otherwise(F.concat(F.lit("_s"), shot, F.lit("_f"), F.lpad(v.cast("string"), 8, "0")))
+    )
+    return store.frames_from_names(fx.table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.expr("vec_id div 50"), tail).alias("frame_id")))
 
 
 @query("select doc_id, case when doc_id % 3 = 0 then 2 else 1 end as version from documents union all select doc_id + 1000000, 2 from documents where doc_id % 6 = 0")

@@ -319,7 +319,7 @@ def T3_search_ids(spark, sf):
 @query(f"{SEARCH} select h.doc_id, frame_id, video_id, timestamp_sec, round(score, 5) as score from hits h join text_docs using (doc_id) join frames using (frame_id) where source = 'ocr'")
 def T4_ocr_search(spark, sf):
     d = fx.text_docs(spark, sf)
-    h = text.frame_hits(text.search(d, WORDS3), d, fx.frames(spark, sf)).where("source = 'ocr'")
+    h = text.frame_hits(text.search(d, WORDS3, keep=("source", "frame_id")).where("source = 'ocr'"), fx.frames(spark, sf))
     return h.select("doc_id", "frame_id", "video_id", "timestamp_sec", F.round("score", 5).alias("score"))
 
 
@@ -394,7 +394,7 @@ def T8_near_suppression(spark, sf):
 def T11_score_map(spark, sf):
     """Of the best five thousand documents (the feature) the best score of each frame."""
     d = fx.text_docs(spark, sf)
-    return text.search(d, WORDS3, 5000).join(d.select("doc_id", "frame_id"), "doc_id").groupBy("frame_id").agg(F.round(F.max("score"), 5).alias("score"))
+    return text.search(d, WORDS3, 5000, ("frame_id",)).groupBy("frame_id").agg(F.round(F.max("score"), 5).alias("score"))
 
 
 EVIDENCE = f"""{KEYWORDS}, {fx.FRAMES_SQL}, {fx.VECTORS_SQL}, {fx.QUERIES_SQL}, {SCORED}, {SRRF} {RANKED}, co as (select request as component, frame_id, case when max(score) over w - min(score) over w <= 1e-9 then 1 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as normalized from ke where request <> 'joint' window w as (partition by request)),
@@ -433,8 +433,8 @@ def T13_caption_retrieval(spark, sf):
     made = events.select(lang.caption_queries(lang.event_variants(F.col("en"), "en", food, yes), lang.event_variants(F.col("vi"), "vi", food, yes)).alias("q"))
     texts = list(dict.fromkeys(t for r in made.collect() for t in r.q))  # two for each of at most five events
     captions = fx.text_docs(spark, sf).where("source = 'asr'")
-    found = ranking.top_per(text.search_many(captions, texts), ["keyword"], [F.desc(F.round("score", 6)), "doc_id"], POOL)
-    frames = found.join(captions.select("doc_id", "frame_id"), "doc_id").groupBy("keyword", "frame_id").agg(F.min("rank").alias("first"))
+    found = ranking.top_per(text.search_many(captions, texts, keep=("frame_id",)), ["keyword"], [F.desc(F.round("score", 6)), "doc_id"], POOL)
+    frames = found.groupBy("keyword", "frame_id").agg(F.min("rank").alias("first"))
     lists = ranking.ranked(frames, ["keyword"], ["first"]).withColumnRenamed("keyword", "source")
     r = _ranked(spark, sf)
     return fusion.auxiliary_merge_shared(r, lists, ["query_id"]).select("query_id", "frame_id", r6("score").alias("score"))

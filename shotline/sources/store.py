@@ -198,3 +198,26 @@ def failures(current: DataFrame, stage: str | None = None) -> DataFrame:
     """Failed and blocked jobs, of one stage or all, the longest untouched first."""
     out = current.where(F.col("status").isin("FAILED", "BLOCKED"))
     return (out if stage is None else out.where(F.col("stage") == stage)).orderBy("updated_at", "item_id", "stage")
+
+
+def frames_from_names(names: DataFrame) -> DataFrame:
+    """Manifest rows of frames known by name alone: (frame_id, video_id, shot_id, frame_index, timestamp_sec: null, frame_path).
+
+    `names` has frame_id such as video_shot_f00000012. The video is the part before
+    the first "_", the shot the second part of three or more (else the video's s0),
+    the index what follows "_f" (else 0). Files that stand for names give theirs as
+    folder_stem. Nothing is made up beyond that: checksums and sizes stay unknown.
+    """
+    parts = F.split("frame_id", "_")
+    video, index = parts[0], F.coalesce(F.nullif(F.regexp_extract("frame_id", r"_f(\d+)", 1), F.lit("")).try_cast("long"), F.lit(0))
+    image = F.when(F.col("frame_id").endswith(".jpg"), F.col("frame_id")).otherwise(F.concat("frame_id", F.lit(".jpg")))
+    return names.select(
+        "frame_id", video.alias("video_id"), F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise(F.concat(video, F.lit("_s0"))).alias("shot_id"), index.alias("frame_index"),
+        F.lit(None).cast("double").alias("timestamp_sec"), F.concat(F.lit("frames/"), video, F.lit("/"), image).alias("frame_path"),
+    )
+
+
+def names_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(frame_id) of the images below a folder of videos: folder_stem."""
+    files = discover(spark, folder, ("jpg",)).select(F.regexp_extract("path", r"([^/]+)/([^/]+)\.[^./]+$", 1).alias("v"), F.regexp_extract("path", r"([^/]+)/([^/]+)\.[^./]+$", 2).alias("s"))
+    return files.select(F.concat("v", F.lit("_"), "s").alias("frame_id"))

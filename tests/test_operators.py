@@ -264,6 +264,14 @@ def test_jobs_keep_the_last_state_and_count_failures(spark):
     assert [r.item_id for r in store.failures(now).collect()] == ["c", "b"] and [r.item_id for r in store.failures(now, "EMBED").collect()] == ["b"]
 
 
+def test_names_of_images(spark, tmp_path):
+    for name in ("v1/a_f0007.jpg", "v1/b.jpg", "v2/c.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    got = store.frames_from_names(store.names_from_files(spark, str(tmp_path))).collect()
+    assert {(r.frame_id, r.video_id, r.shot_id, r.frame_index, r.timestamp_sec) for r in got} == {("v1_a_f0007", "v1", "a", 7, None), ("v1_b", "v1", "v1_s0", 0, None)}
+
+
 def test_path_states(spark):
     paths = spark.createDataFrame([(1, None), (2, "frames\\a"), (3, "../other/a"), (4, "/runs/x/frames/a"), (5, "frames/missing")], "frame_id long, path string")
     files = spark.createDataFrame([("/runs/x/frames/a",)], "file string")
