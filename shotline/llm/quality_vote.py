@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,16 +46,38 @@ THRESHOLD = 0.3
 _RUNS = ((re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "9"), (re.compile(r"([^\w])\1+"), r"\1"))
 
 
+def _letters(word: str) -> str | None:
+    """The shape of a word of letters that are all small, or all but a capital first one; None for others."""
+    if word.islower():
+        return "a"
+    first = word[0]
+    return "Aa" if ("A" <= first <= "Z" or "À" <= first <= "Þ") and word[1:].islower() else None
+
+
 def shape(token: str) -> str:
+    """Runs of small letters, capitals, digits and of one symbol as one character each, eight at most."""
+    if token.isalpha():
+        known = _letters(token)
+    elif token[-1] in ".,!?;:" and token[:-1].isalpha():
+        known = (base := _letters(token[:-1])) and base + token[-1]
+    else:
+        known = None
+    if known:  # most tokens
+        return known
     for pattern, to in _RUNS:
         token = pattern.sub(to, token)
     return token[:8]
 
 
+@lru_cache(4096)
+def _shape_bin(of: str) -> int:
+    return zlib.crc32(of.encode("utf-8", "surrogatepass")) % SHAPE_BINS
+
+
 def _code(token: str) -> int:
     """Bins of a token's word and shape, in one number."""
     word = zlib.crc32(token.lower().strip(".,!?;:#$%&*|").encode("utf-8", "surrogatepass")) % WORD_BINS
-    return word * SHAPE_BINS + zlib.crc32(shape(token).encode("utf-8", "surrogatepass")) % SHAPE_BINS
+    return word * SHAPE_BINS + _shape_bin(shape(token))
 
 
 _codes = Cache(_code)

@@ -530,6 +530,20 @@ def test_votes_are_exact_cosines():
         assert abs(score - (w * m.labels[top]).sum() / w.sum()) < 1e-4
 
 
+def test_shapes_by_the_short_way_equal_the_patterns():
+    random.seed(11)
+
+    def slow(token):
+        for pattern, to in quality_vote._RUNS:
+            token = pattern.sub(to, token)
+        return token[:8]
+
+    letters = "abzßàÿÀÞ×÷ÖØAZ.,!?;:-_019ªŁłΣςж漢ŒǅÅ"
+    for _ in range(60_000):
+        token = "".join(random.choice(letters) for _ in range(random.randint(1, 6)))
+        assert quality_vote.shape(token) == slow(token), token
+
+
 def test_ties_go_to_the_least_doc_id():
     v = np.array([[1, 0]] * 20 + [[0, 1]] * 20, np.float32)
     labels = np.array([1.0] * 15 + [0.0] * 25)
@@ -569,3 +583,20 @@ def test_votes_equal_brute_force(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert common.shared_dir(spark).rstrip("/") == (spark.conf.get("spark.checkpoint.dir", None) or common.shared_dir(spark)).rstrip("/")
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Stub:
+        master = "spark://host:7077"
+        sparkContext = conf = property(lambda self: self)
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+        getCheckpointDir = get
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Stub())
