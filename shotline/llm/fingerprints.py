@@ -16,7 +16,7 @@ but not their bytes (a collision) are classes of their own.
 
 Null texts count as empty; empty texts share a fingerprint. Null doc_ids (and
 -2^63, which stands for them in the sort) come before all others; a null keeps a
-null class; rows of one doc_id are ordered by text; an empty table gives an empty
+null class; rows of one doc_id are ordered by a hash of the text; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -25,11 +25,12 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,8 +132,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+@lru_cache(1)
+def _zip() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@lru_cache(1)
+def _unzip() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def _dealt(docs: DataFrame) -> DataFrame:
-    """Rows by ranges of doc_id, each range followed by the next one's first row (the last by the very first)."""
+    """(range, kind, doc_id, data: the text, compressed) by ranges of doc_id, each range followed by the next one's first row (the last by the very first)."""
     spark = docs.sparkSession
     rows = common.texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(_LEAST)))
     n = common.partitions(spark)
@@ -140,21 +151,21 @@ def _dealt(docs: DataFrame) -> DataFrame:
     least, cuts = rows.agg(F.min("at"), F.percentile_approx("at", parts, 10_000)).first()
     bounds = np.array(sorted({c for c in (cuts or []) if c > least}) if n > 1 else [], np.int64)
 
-    @F.pandas_udf("array<int>")
-    def places(at: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, at.to_numpy(np.int64), side="right")
-        out = [[3 * int(k) + _OWN] for k in own]
-        for i, (x, k) in enumerate(zip(at, own, strict=True)):
-            if k and bounds[k - 1] == x:
-                out[i].append(3 * (int(k) - 1) + _AHEAD)
-            if x == least:
-                out[i].append(3 * len(bounds) + _WRAPPED)
-        return pd.Series(out)
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.column("at").to_numpy()
+        own = np.searchsorted(bounds, at, side="right").astype(np.int32)
+        first = np.flatnonzero((own > 0) & (np.concatenate([[_LEAST], bounds])[own] == at))  # also closes the range before
+        wrapped = np.flatnonzero(at == least)
+        taken = np.concatenate([np.arange(len(at)), first, wrapped])
+        range_ = np.concatenate([own, own[first] - 1, np.full(len(wrapped), len(bounds))]).astype(np.int32)
+        kind = np.repeat(np.array([_OWN, _AHEAD, _WRAPPED], np.int32), [len(at), len(first), len(wrapped)])
+        data = pa.array([_zip().compress(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+        kept = [batch.column(c).take(pa.array(taken)) for c in ("doc_id", "at", "h")]
+        return pa.RecordBatch.from_arrays([pa.array(range_), pa.array(kind), *kept, data.take(pa.array(taken))], ["range", "kind", "doc_id", "at", "h", "data"])
 
-    spread = rows.withColumn("place", F.explode(places("at")))
-    spread = spread.withColumn("range", F.expr("place div 3").cast("int")).withColumn("kind", F.col("place") % 3)
-    dealt = spread.repartitionById(len(bounds) + 1, F.col("range"))
-    return dealt.sortWithinPartitions("range", F.col("kind") == _WRAPPED, "at", "text").select("range", "kind", "doc_id", "text")
+    dealt = common.over_batches(rows.select("doc_id", "text", "at", F.xxhash64("text").alias("h")), spread, "range int, kind int, doc_id long, at long, h long, data binary")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("range"))
+    return dealt.sortWithinPartitions("range", F.col("kind") == _WRAPPED, "at", "h", "data").select("range", "kind", "doc_id", "data")
 
 
 def edits(docs: DataFrame) -> DataFrame:
@@ -167,11 +178,12 @@ def edits(docs: DataFrame) -> DataFrame:
         before, done = None, False  # (range, doc_id, text, digest); whether its range has seen the row ahead
         for batch in batches:
             rows = []
-            for at, kind, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("range", "kind", "doc_id", "text")), strict=True):
+            for at, kind, doc_id, data in zip(*(batch.column(c).to_pylist() for c in ("range", "kind", "doc_id", "data")), strict=True):
                 if before and before[0] != at:
                     before, done = None, False
                 if done:
                     continue
+                text = _unzip().decompress(data).decode()
                 name = digest(text)
                 if before:
                     _, last_id, last, last_name = before
