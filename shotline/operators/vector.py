@@ -27,9 +27,24 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / ((norm(a) + 1e-12) * (norm(b) + 1e-12))
 
 
+def _prepared(df: DataFrame, c: str, length: str) -> DataFrame:
+    """The vector in doubles and its length, once a row: pairs then cost one inner product."""
+    wide = df.withColumn(c, F.transform(c, lambda x: x.cast("double")))
+    return wide.withColumn(length, F.sqrt(_dot(c, c)) + 1e-12)
+
+
+def _dot(a: str, b: str) -> Column:
+    """Inner product of arrays of doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select("query_id", "model", "frame_id", (_dot("embedding", "q") / (F.col("length_e") * F.col("length_q"))).alias("score"))
+
+
 def scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """All (query, frame) scores of a model; `queries` are broadcast, so at most a block of them (see `scored_in_blocks`, which counts)."""
-    return vectors.join(F.broadcast(queries), "model").select("query_id", "model", "frame_id", cosine("embedding", "q").alias("score"))
+    return _pairs(_prepared(vectors, "embedding", "length_e").join(F.broadcast(_prepared(queries, "q", "length_q")), "model"))
 
 
 def scored_in_blocks(vectors: DataFrame, queries: DataFrame, size: int = 1000) -> DataFrame:
@@ -44,9 +59,9 @@ def scored_in_blocks(vectors: DataFrame, queries: DataFrame, size: int = 1000) -
     chunks = 4 * blocks
     of = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    v = vectors.withColumn("chunk", of(chunks, "frame_id")).withColumn("block", every(blocks))
-    q = queries.withColumn("block", of(blocks, "query_id")).withColumn("chunk", every(chunks)).hint("merge")
-    return v.join(q, ["model", "block", "chunk"]).select("query_id", "model", "frame_id", cosine("embedding", "q").alias("score"))
+    v = _prepared(vectors, "embedding", "length_e").withColumn("chunk", of(chunks, "frame_id")).withColumn("block", every(blocks))
+    q = _prepared(queries, "q", "length_q").withColumn("block", of(blocks, "query_id")).withColumn("chunk", every(chunks)).hint("merge")
+    return _pairs(v.join(q, ["model", "block", "chunk"]))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

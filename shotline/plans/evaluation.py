@@ -227,11 +227,12 @@ def G4_staleness(spark, sf):
     return quality.staleness(d.select("doc_id", F.sha2("text", 256).alias("checksum")), stored, "doc_id")
 
 
-@query("select doc_id, 'lang' as field from documents where doc_id % 9 = 0 union all select doc_id, 'source' from documents where doc_id % 4 = 0")
+@query("""with d as (select doc_id, lang, source, n_chars, nullif(text, '') is null as blank, case when n_chars > 1000 then lang end as large from documents), p as (select a.doc_id, unnest(list_filter([case when a.lang is distinct from b.lang then 'lang' end, case when a.source is distinct from b.source then 'source' end,
+case when a.n_chars is distinct from b.n_chars then 'n_chars' end, case when a.blank is distinct from b.blank then 'blank' end, case when a.large is distinct from b.large then 'large' end], lambda f: f is not null)) as field from d a join d b on b.doc_id = a.doc_id + 1) select * from p""")
 def G5_provenance(spark, sf):
-    d = fx.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    new = d.select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 4 == 0, "other").otherwise(F.col("source")).alias("source"), "n_chars")
-    return quality.provenance_changes(d, new, "doc_id", ["lang", "source", "n_chars"])
+    """Five fields of each document against those of the one after it; one of them may be null."""
+    d = fx.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.nullif("text", F.lit("")).isNull().alias("blank"), F.when(F.col("n_chars") > 1000, F.col("lang")).alias("large"))
+    return quality.provenance_changes(d, d.withColumn("doc_id", F.col("doc_id") - 1), "doc_id", ["lang", "source", "n_chars", "blank", "large"])
 
 
 EVAL = f"""{HEAD} {SCORED}, res as (select query_id, rank, frame_id as item from hits where model = 'a'), qr as (select e.vec_id as item, q.vec_id as query_id, e.vec_id // 5 as target from embeddings e join embeddings q on e.label = q.label and q.vec_id % 50 = 0),

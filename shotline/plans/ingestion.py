@@ -103,14 +103,12 @@ def K6_text_store(spark, sf):
     return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query(f"with {fx.VECTORS_SQL} select model, frame_id, round(e[1], 6) as first, len(e) as dims from vectors where frame_id < 100 union all select model, -1, round(sum(e[1]), 3), count(*) from vectors group by all")
+@query(f"with {fx.VECTORS_SQL} select model, frame_id, round(e[1], 6) as first, len(e) as dims from vectors")
 def K7_vector_store(spark, sf):
-    """The store, read by a range of ids that skips its other files, and its totals."""
+    """The store, written by model and in ranges of ids, and read back."""
     path = store.workspace(spark, "vectors")
     store.build_vector_store(fx.vectors(spark, sf), path, 4)
-    v, at = spark.read.parquet(path), F.col("embedding")[0].cast("double")
-    some = v.where("frame_id < 100").select("model", "frame_id", r6(at).alias("first"), F.size("embedding").cast("long").alias("dims"))
-    return some.unionByName(v.groupBy("model").agg(F.lit(-1).cast("long").alias("frame_id"), F.round(F.sum(at), 3).alias("first"), F.count("*").alias("dims")))
+    return spark.read.parquet(path).select("model", "frame_id", r6(F.col("embedding")[0].cast("double")).alias("first"), F.size("embedding").cast("long").alias("dims"))
 
 
 CONFIG = {"embedding_models": ["a", "b"], "frame_sampling": "shot-percentile", "pipeline": "retrieval"}
@@ -159,11 +157,13 @@ def S5_distinct_keys(spark, sf):
     return fx.table(spark, sf, "documents").select("source").distinct()
 
 
-@query("select 'a' as model, count(*) as n from embeddings where vec_id % 2 = 0 union all select 'b', count(*) from embeddings")
+@query("select 'a' as model, count(*) as n, sum(vec_id)::bigint as ids from embeddings where label <> 3 union all select 'b', count(*), sum(vec_id)::bigint from embeddings where label > 5")
 def S7_finished_or_checkpoint(spark, sf):
-    v = fx.vectors(spark, sf)
-    out = store.finished_or_checkpoint(v.where("model = 'a' and frame_id % 2 = 0"), v)
-    return out.groupBy("model").agg(F.count("*").alias("n"))
+    """One model has finished vectors, whatever its unfinished run holds; the other only has those of its run."""
+    label = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), "label")
+    v = fx.vectors(spark, sf).join(label, "frame_id")
+    out = store.finished_or_checkpoint(v.where("model = 'a' and label <> 3"), v.where("label > 5"))
+    return out.groupBy("model").agg(F.count("*").alias("n"), F.sum("frame_id").alias("ids"))
 
 
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1")

@@ -141,9 +141,21 @@ def F10_chain_scores(spark, sf):
 
 
 # Candidates: videos with two frames of label 3 or more; these are anchors, the first bears the answer, a frame of label 7 is the global hit.
-@query()
+@query(f"""with recursive {fx.FRAMES_SQL}, f as (select frame_id, video_id, shot_id, timestamp_sec as ts, label from frames join (select vec_id as frame_id, label from embeddings) using (frame_id)),
+an as (select * from (select video_id, frame_id, shot_id, ts, row_number() over (partition by video_id order by ts) as p from f where label = 3) where p <= 2), cd as (select video_id, min(ts) as s, max(ts) as e from an group by video_id having count(*) = 2),
+ar as (select *, lag(frame_id) over w as bf, lag(shot_id) over w as bs, lag(ts) over w as bt, lead(frame_id) over w as af, lead(shot_id) over w as ash, lead(ts) over w as ats from f window w as (partition by video_id order by ts, frame_id)),
+near as (select ar.*, s, e from ar join an using (frame_id) join cd on cd.video_id = ar.video_id where p = 1),
+pr as (select video_id, 0 as o, p, 0 as side, ts, frame_id from an join cd using (video_id) union all select video_id, 1, 1, 0, bt, bf from near where bs = shot_id and bt between s - 20 and e + 20 union all select video_id, 1, 1, 1, ats, af from near where ash = shot_id and ats between s - 20 and e + 20
+  union all select video_id, 2, 1, 0, min(ts), arg_min(frame_id, ts) from f join cd using (video_id) where label = 7 group by video_id),
+pu as (select * from (select *, row_number() over (partition by video_id, frame_id order by o, p, side) as n from pr) where n = 1),
+st as (select video_id, list(struct_pack(ts := ts, frame_id := frame_id) order by o, p, side)[1:12] as got from pu group by video_id),
+wn as (select f.video_id, list(struct_pack(ts := ts, frame_id := frame_id) order by ts, frame_id) as win from f join cd using (video_id) where ts between s - 20 and e + 20 group by f.video_id),
+walk as (select video_id, got, win from st join wn using (video_id) union all select video_id, list_append(got, struct_pack(ts := pick.ts, frame_id := pick.frame_id)), win from (select video_id, got, win,
+  list_sort(list_transform(list_filter(win, lambda p: not list_contains(list_transform(got, lambda c: c.frame_id), p.frame_id)), lambda p: struct_pack(d := -list_min(list_transform(got, lambda c: abs(c.ts - p.ts))), ts := p.ts, frame_id := p.frame_id)))[1] as pick from walk where len(got) < 12) where pick is not null),
+final as (select video_id, arg_max(got, len(got)) as got from walk group by video_id)
+select video_id as candidate_id, unnest(list_transform(got, lambda g: g.frame_id)) as frame_id, generate_subscripts(got, 1) as place from final""")
 def B7_farthest_points(spark, sf):
-    """Anchors, their neighbours, the global hit, then the farthest frames of the window; tested against a loop."""
+    """Anchors, their neighbours, the global hit, then the farthest frames of the window; tested against a loop too."""
     e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), "label")
     f = fx.frames(spark, sf).join(e, "frame_id").select("frame_id", "video_id", "shot_id", F.col("timestamp_sec").alias("ts"), "label")
     an = ranking.ranked(f.where("label = 3"), ["video_id"], ["ts"], "priority").where("priority <= 2")
@@ -153,7 +165,7 @@ def B7_farthest_points(spark, sf):
     hit = f.where("label = 7").groupBy("video_id").agg(F.min_by(F.struct("frame_id", "shot_id", "ts"), "ts").alias("h"))
     hit = hit.select(F.col("video_id").alias("candidate_id"), F.lit(1).alias("priority"), "h.frame_id", "h.shot_id", "h.ts", F.lit("global").alias("kind"))
     known = anchors.unionByName(hit).join(c.select("candidate_id"), "candidate_id", "left_semi")
-    return chains.evidence_frames(c, known, f.drop("label"), 12, 20.0)
+    return chains.evidence_frames(c, known, f.drop("label"), 12, 20.0).withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"{PTS} x as (select 1) select probe_id, round(max(score), 6) as best, arg_max(frame_id, struct_pack(a := score, b := -frame_id)) as frame_id from pr join fr using (video_id) where ts between t0 - 86400 and t0 + 86400 group by all")

@@ -308,3 +308,20 @@ def test_config_hash_ignores_order():
     assert store.config_hash({"a": 1, "b": 2}) == store.config_hash({"b": 2, "a": 1})
     plan = {"status": "APPROVED", "config_hash": store.config_hash({"a": 1}), "dataset": "d"}
     assert store.plan_is_current(plan, {"a": 1}, "d") and not store.plan_is_current(plan, {"a": 2}, "d")
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Stub:
+        master = "spark://host:7077"
+        sparkContext = conf = property(lambda self: self)
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+        getCheckpointDir = get
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        store.workspace(Stub(), "x")
