@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotline.operators import tiles
 from shotline.operators.ranking import top_per
 
 
@@ -47,26 +48,17 @@ def scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return _pairs(_prepared(vectors, "embedding", "length_e").join(F.broadcast(_prepared(queries, "q", "length_q")), "model"))
 
 
-def scored_in_blocks(vectors: DataFrame, queries: DataFrame, size: int = 1000) -> DataFrame:
-    """The same for queries that grow with the table: tiles of about `size` queries by a share of the vectors.
+def scored_in_blocks(vectors: DataFrame, queries: DataFrame, size: int = tiles.BLOCK) -> DataFrame:
+    """The same, to the bit, for queries that grow with the table: tiles of about `size` queries by a share of the vectors.
 
-    Counts the queries at once. One block is broadcast; more of them are shuffled with the vectors, so no task or
-    driver holds all queries.
+    Counts both at once; no task or driver holds all queries.
     """
-    blocks = -(-queries.count() // size)
-    if blocks <= 1:
-        return scored(vectors, queries)
-    chunks = 4 * blocks
-    of = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    v = _prepared(vectors, "embedding", "length_e").withColumn("chunk", of(chunks, "frame_id")).withColumn("block", every(blocks))
-    q = _prepared(queries, "q", "length_q").withColumn("block", of(blocks, "query_id")).withColumn("chunk", every(chunks)).hint("merge")
-    return _pairs(v.join(q, ["model", "block", "chunk"]))
+    return tiles.pairs(vectors, queries, size)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best k frames of each query and model; ties by frame_id. Spark limits groups before the shuffle."""
-    return best(scored_in_blocks(vectors, queries), k)
+    """Best k frames of each query and model; ties by frame_id. A tile's best k are all that is shuffled."""
+    return best(tiles.hits(vectors, queries, k), k)
 
 
 def best(scores: DataFrame, k: int) -> DataFrame:
