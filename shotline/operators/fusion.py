@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotline.operators import tiles
 from shotline.operators.ranking import max_normalised, min_max, ranked, top_per
 
 
@@ -50,6 +51,12 @@ def wsf(scores: DataFrame, by: list, models: list[str], weights: dict[str, float
     return top_per(fused.select(*by, "frame_id", checked.alias("score")), by, [F.desc(F.round("score", 9)), F.asc("frame_id")], k)
 
 
+def wsf_search(vectors: DataFrame, queries: DataFrame, models: list[str], weights: dict[str, float] | None, k: int) -> DataFrame:
+    """The same over all scores of `queries`, which are summed where they are made instead of being shuffled."""
+    fused = tiles.weighted(vectors, queries, model_weights(models, weights), k)
+    return top_per(fused, ["query_id"], [F.desc(F.round("score", 9)), F.asc("frame_id")], k)
+
+
 def aligned(scores: DataFrame, branch: str = "model") -> DataFrame:
     """Frames that a model lacks: (model, frame_id); empty if all models have the same. The models' names are one row."""
     models = scores.agg(F.collect_set(branch).alias("models"))

@@ -118,7 +118,7 @@ def F1_srrf(spark, sf):
 w as (select query_id, frame_id, sum(x * case model when 'a' then 0.75 else 0.25 end) as score from n group by all)
 select query_id, frame_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, frame_id) as rank from w) where rank <= 25""")
 def F2_wsf(spark, sf):
-    out = fusion.wsf(_scored(spark, sf), ["query_id"], ["a", "b"], {"a": 3.0}, 25)
+    out = fusion.wsf_search(fx.vectors(spark, sf), fx.queries(spark, sf), ["a", "b"], {"a": 3.0}, 25)
     return out.select("query_id", "frame_id", "rank", r6("score").alias("score"))
 
 

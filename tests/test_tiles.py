@@ -43,3 +43,13 @@ def test_hits(odd, k):
 
 def test_F15_lists_are_cut_in_tiles(spark):
     assert pair_free(spark, "F15_auxiliary_merge")
+
+
+@pytest.mark.parametrize("k", [2, 7])
+def test_F2_weighted_sums(spark, odd, k):
+    assert pair_free(spark, "F2_wsf")
+    v, q = odd
+    q, names, weights, columns = q.dropDuplicates(["query_id", "model"]), ["a", "b"], {"a": 3.0}, ("query_id", "frame_id", "score", "rank")
+    assert rows(fusion.wsf_search(v, q, names, weights, k), *columns) == rows(fusion.wsf(vector.scored(v, q), ["query_id"], names, weights, k), *columns)
+    with pytest.raises(Exception, match="models have different frames"):
+        fusion.wsf_search(v.where("model = 'a' or frame_id <> 5"), q, names, weights, k).collect()
