@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shotline.functions import language as lang
 from shotline.functions import scalar as x
-from shotline.operators import fusion, ranking, text, vector
+from shotline.operators import fusion, ranking, text, tiles, vector
 from shotline.plans.registry import query
 from shotline.sources import fixtures as fx
 
@@ -124,7 +124,7 @@ def F2_wsf(spark, sf):
 
 @query(f"{HEAD} {SCORED} select query_id, frame_id, round(avg(x), 6) as score from (select *, score / case when max(score) over (partition by query_id, model) <= 1e-12 then 1 else max(score) over (partition by query_id, model) end as x from scored) group by all")
 def F3_weighted_sum(spark, sf):
-    return fusion.weighted_sum(_scored(spark, sf), ["query_id"], "model").select("query_id", "frame_id", r6("score").alias("score"))
+    return tiles.mean(fx.vectors(spark, sf), fx.queries(spark, sf)).select("query_id", "frame_id", r6("score").alias("score"))
 
 
 @query(f"""{HEAD} {SCORED}, nq as (select count(distinct query_id) as n from queries), g as (select * from ranked where model = 'a' and rank <= 40), pool as (select frame_id from (select frame_id, sum(x) / any_value(n) as s from nq,

@@ -53,3 +53,11 @@ def test_F2_weighted_sums(spark, odd, k):
     assert rows(fusion.wsf_search(v, q, names, weights, k), *columns) == rows(fusion.wsf(vector.scored(v, q), ["query_id"], names, weights, k), *columns)
     with pytest.raises(Exception, match="models have different frames"):
         fusion.wsf_search(v.where("model = 'a' or frame_id <> 5"), q, names, weights, k).collect()
+
+
+@pytest.mark.parametrize("kept", ["true", "model = 'a' or frame_id % 7 <> 0", "model = 'b'"])
+def test_F3_means(spark, odd, kept):
+    assert pair_free(spark, "F3_weighted_sum")
+    v, q = odd
+    v, q, columns = v.where(kept), q.where("query_id <> 9 and (model = 'a' or query_id <> 15)"), ("query_id", "frame_id", "score")
+    assert rows(tiles.mean(v, q), *columns) == rows(fusion.weighted_sum(vector.scored(v, q), ["query_id"], "model"), *columns)
