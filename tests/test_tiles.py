@@ -61,3 +61,10 @@ def test_F3_means(spark, odd, kept):
     v, q = odd
     v, q, columns = v.where(kept), q.where("query_id <> 9 and (model = 'a' or query_id <> 15)"), ("query_id", "frame_id", "score")
     assert rows(tiles.mean(v, q), *columns) == rows(fusion.weighted_sum(vector.scored(v, q), ["query_id"], "model"), *columns)
+
+
+def test_V3_lists_are_cut_in_tiles(spark, odd):
+    """Before any shuffle each tile keeps k rows of a query and model (and as many without a number)."""
+    assert pair_free(spark, "V3_variant_max_merge")
+    most = tiles.hits(*odd, 2).groupBy("query_id", "model").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 3 * 2 * 6  # twice the query 9, three kinds of scores, six tiles
