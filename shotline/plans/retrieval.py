@@ -99,7 +99,7 @@ def S6_positions(spark, sf):
 @query(f"{HEAD} {SCORED} select query_id, model, frame_id, rank from ranked")
 def W1_ranks(spark, sf):
     """Every frame's rank in its branch, ties by id."""
-    return ranking.ranked(_scored(spark, sf), ["query_id", "model"], [F.desc("score"), "frame_id"]).select("query_id", "model", "frame_id", "rank")
+    return tiles.ranks(fx.vectors(spark, sf), fx.queries(spark, sf))
 
 
 @query(f"{HEAD} {SCORED} select query_id, model, frame_id, round(case when max(score) over w - min(score) over w <= 1e-9 then 0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end, 6) as spread, round(case when max(score) over w > 0 then score / max(score) over w else score end, 6) as share from hits window w as (partition by query_id, model)")

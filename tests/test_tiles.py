@@ -68,3 +68,11 @@ def test_V3_lists_are_cut_in_tiles(spark, odd):
     assert pair_free(spark, "V3_variant_max_merge")
     most = tiles.hits(*odd, 2).groupBy("query_id", "model").count().agg(F.max("count")).first()[0]
     assert most <= 2 * 3 * 2 * 6  # twice the query 9, three kinds of scores, six tiles
+
+
+def test_W1_ranks(spark, odd):
+    assert pair_free(spark, "W1_ranks")
+    v, q = odd
+    for asked in (q, q.dropDuplicates(["query_id", "model"])):
+        columns = ("query_id", "model", "frame_id", "rank")
+        assert rows(tiles.ranks(v, asked), *columns) == rows(ranking.ranked(vector.scored(v, asked), ["query_id", "model"], [F.desc("score"), "frame_id"]), *columns)
