@@ -56,9 +56,16 @@ def _is(term: str):
     return lambda t: t == term
 
 
-def _place_of(words: list[str]):
-    """Whether the words stand at a place (0-based) of `ts`."""
-    return lambda i: F.slice("ts", i + 1, len(words)) == F.array(*[F.lit(w) for w in words])
+def _phrase(words: list[str], terms: list[str]) -> Column:
+    """How often the words stand in `ts` one after another: places of the first word are looked at, and only if all are held."""
+    if not words:
+        return F.lit(0)
+    if len(words) == 1:
+        n = F.col("tf")[terms.index(words[0])]
+        return F.when(n > 0, n).otherwise(0)
+    whole = F.array(*[F.lit(w) for w in words])
+    places = F.filter("ts", lambda t, i: (t == words[0]) & (F.slice("ts", i + 1, len(words)) == whole))
+    return F.when(_all_of(words, terms), F.size(places)).otherwise(0)
 
 
 def _expansions(term: str) -> Column:
@@ -72,10 +79,7 @@ def _digest(docs: DataFrame, requests: list[list[str]], terms: list[str], text:
     t = docs.select("doc_id", *keep, tokens(F.col(text)).alias("ts"))
     t = t.select("doc_id", *keep, "ts", F.size("ts").alias("dl"), F.filter("ts", _near_any(terms)).alias("some"))
     t = t.withColumn("tf", F.array(*[F.size(F.filter("some", _is(x))) for x in terms]))
-    phrase = [
-        F.when(_all_of(words, terms) & (F.col("dl") >= len(words)), F.size(F.filter(F.sequence(F.lit(0), F.col("dl") - len(words)), _place_of(words)))).otherwise(0) if words else F.lit(0)
-        for words in requests
-    ]
+    phrase = [_phrase(words, terms) for words in requests]
     t = t.select("doc_id", *keep, "dl", "tf", F.array(*phrase).alias("pf"), F.array(*[_expansions(x) for x in terms]).alias("near"))
     return t.repartition(F.col("doc_id"))
 

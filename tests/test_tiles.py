@@ -76,3 +76,14 @@ def test_W1_ranks(spark, odd):
     for asked in (q, q.dropDuplicates(["query_id", "model"])):
         columns = ("query_id", "model", "frame_id", "rank")
         assert rows(tiles.ranks(v, asked), *columns) == rows(ranking.ranked(vector.scored(v, asked), ["query_id", "model"], [F.desc("score"), "frame_id"]), *columns)
+
+
+def test_F8_hits_and_phrases(spark):
+    """Hits come from tiles; a phrase looks at the places of its first word, whose number is that of a phrase of one word."""
+    from shotline.operators import text
+
+    assert pair_free(spark, "F8_evidence_rerank")
+    docs = spark.createDataFrame([(1, "he la he la la he"), (2, "he he he"), (3, "la"), (4, None), (5, "")], "doc_id long, text string")
+    d = text._digest(docs, [["he"], ["he", "la"], ["he", "he"], []], ["he", "la"], "text")
+    assert "sequence(" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: list(r.pf) for r in d.collect()} == {1: [3, 2, 0, 0], 2: [3, 0, 2, 0], 3: [0, 0, 0, 0], 4: [0, 0, 0, 0], 5: [0, 0, 0, 0]}
