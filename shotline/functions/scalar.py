@@ -145,6 +145,7 @@ def tokens(c: Column) -> Column:
     plain = unmarked(F.lower(c))
     for a, b in ASCII.items():
         plain = F.replace(plain, F.lit(a), F.lit(b))
+    plain = F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(plain)  # nothing of it changes ASCII
     found = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     return F.filter(found, lambda t: ~t.isin(*STOP))
 

@@ -87,3 +87,14 @@ def test_F8_hits_and_phrases(spark):
     d = text._digest(docs, [["he"], ["he", "la"], ["he", "he"], []], ["he", "la"], "text")
     assert "sequence(" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert {r.doc_id: list(r.pf) for r in d.collect()} == {1: [3, 2, 0, 0], 2: [3, 0, 2, 0], 3: [0, 0, 0, 0], 4: [0, 0, 0, 0], 5: [0, 0, 0, 0]}
+
+
+def test_T13_hits_and_plain_tokens(spark):
+    """Hits come from tiles; ASCII texts skip the folding that cannot change them, others don't."""
+    from shotline.functions import scalar
+
+    assert pair_free(spark, "T13_caption_retrieval")
+    docs = spark.createDataFrame([("From HE_2, the la",), ("Fröm HÉ_2, the łaß",), (None,), ("",)], "text string")
+    found = docs.select(scalar.tokens(F.col("text")).alias("ts"))
+    assert "octet_length" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.ts for r in found.collect()] == [["from", "he_2", "la"], ["from", "he_2", "lass"], None, []]
