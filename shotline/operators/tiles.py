@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 LANES = 4096
 #: Query rows of a block, vector rows of a tile at most and, if the tiles suffice, at least; tiles wanted.
 BLOCK, MOST, LEAST, TILES = 8192, 131072, 4096, 24
+#: Queries whose approximate scores a tile holds at once.
+GROUP = 16
 #: Blocks wanted where a tile takes all vectors (`ranks`): each costs one more copy of them in the shuffle.
 RANK_BLOCKS = 12
 #: Rows of an Arrow batch that a tile returns.
@@ -164,12 +166,62 @@ def _pairs(tile: Tile) -> Iterator[pa.RecordBatch]:
         yield from _slices({"query_id": tile.ids.take(pa.array(np.full(v.n, r))), "model": pa.repeat(m, v.n), "frame_id": v.ids, "score": _null(s, valid)})
 
 
+def _likely(v: Vectors, qs: np.ndarray, k: int) -> Iterator[np.ndarray | None]:
+    """Of each of the queries the places that can be among the first k, by products in any order and a bound on their error; None: look at all."""
+    lanes = v.lanes[qs.shape[1]]
+    lengths = np.concatenate([x for _, _, x in lanes])
+    for i in range(0, len(qs), GROUP):
+        near = np.concatenate([qs[i : i + GROUP] @ columns for _, columns, _ in lanes], axis=1)
+        near /= lengths * (np.sqrt((qs[i : i + GROUP] ** 2).sum(axis=1, keepdims=True)) + 1e-12)
+        if not np.isfinite(near).all() or v.n <= k:
+            yield from [None] * len(near)
+            continue
+        least = np.partition(near, v.n - k, axis=1)[:, v.n - k]
+        # Sums of d products are off by d roundings of their absolute sum at most, which the lengths bound by 1.
+        for row, low in zip(near, least - max(1e-12, qs.shape[1] * 1e-14), strict=True):
+            yield np.flatnonzero(row >= low)
+
+
+def _exact(v: Vectors, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`Vectors.scores` of a few places."""
+    out, length = np.zeros(len(at)), 0.0
+    for x in q:
+        length += x * x
+    for j, (_, columns, lengths) in enumerate(v.lanes[len(q)]):
+        own = np.flatnonzero(at // LANES == j)
+        if len(own):
+            here = at[own] - j * LANES
+            sums = np.add.accumulate(columns[:, here] * q[:, None], axis=0)[-1] + 0.0
+            out[own] = sums / (lengths[here] * (np.sqrt(length) + 1e-12))
+    return out
+
+
 def _hits(k: int) -> Callable[[Tile], Iterator[pa.RecordBatch]]:
+    def some(v: Vectors, rows: list[tuple[int, np.ndarray | None]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Row, places, scores, and where those aren't null."""
+        plain = {d: [x for x in rows if x[1] is not None and len(x[1]) == d] for d, whole in v.whole.items() if whole and d}
+        for own in plain.values():
+            for (r, q), near in zip(own, _likely(v, np.array([q for _, q in own]).reshape(len(own), -1), k) if own else [], strict=True):
+                s = v.scores(q)[0] if near is None else _exact(v, q, near)
+                at = _first(s, None, k)
+                yield r, at if near is None else near[at], s[at], None
+        for r, q in rows:
+            if q is None or len(q) not in plain:
+                s, valid = v.scores(q)
+                at = _first(s, valid, k)
+                yield r, at, s[at], None if valid is None else valid[at]
+
     def run(tile: Tile) -> Iterator[pa.RecordBatch]:
-        for r, m, v, s, valid in tile.branches():
-            at = _first(s, valid, k)
-            found = _null(s[at], None if valid is None else valid[at])
-            yield pa.RecordBatch.from_pydict({"query_id": tile.ids.take(pa.array(np.full(len(at), r))), "model": pa.repeat(m, len(at)), "frame_id": v.ids.take(pa.array(at)), "score": found})
+        for m, v in tile.models.items():
+            own, found = [(r, q) for rows in tile.queries.values() for r, x, q in rows if x == m], []
+            for i, one in enumerate(some(v, own), 1):
+                found.append(one)
+                if i % 256 == 0 or i == len(own):
+                    row = np.concatenate([np.full(len(at), r) for r, at, _, _ in found])
+                    known = np.concatenate([np.ones(len(at), bool) if valid is None else valid for _, at, _, valid in found])
+                    at, s = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
+                    yield from _slices({"query_id": tile.ids.take(pa.array(row)), "model": pa.repeat(m, len(row)), "frame_id": v.ids.take(pa.array(at)), "score": _null(s, known)})
+                    found = []
 
     return run
 
